@@ -10,7 +10,7 @@ distinct unit is solved once, all of a batch in step, and kept in a table of bou
 is solved text by text.
 
 The scores are those of the model file, whichever algorithm trained it: on a file of BPE kind this is the unigram path over its
-scores (tests hold it against the library with the file's kind set to unigram), not the path of its merges.
+scores (tests hold it against plain dynamic programming), not the path of its merges.
 
 Defined results: a null or empty text has no piece; repeated rows are encoded one by one; an empty table gives no rows; there is no shuffle; other columns are not read.
 """
