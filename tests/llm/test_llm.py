@@ -142,7 +142,7 @@ def test_sentencepiece_equals_brute_force_and_round_trips(spark, corpus):
         assert own.tolist() == best_path(c, lib, t), t
         assert score(own) >= score(theirs)
         same += own.tolist() == theirs
-    assert same >= 0.99 * len(short)
+    assert same >= 0.95 * len(short)
     docs = docs_of(spark, corpus + AWKWARD)
     rows = sentencepiece_codec.piece_summary(docs, P.path("piece_bpe_32k.model")).collect()
     assert len(rows) == len(corpus) + len(AWKWARD) and all(r["round_trip"] for r in rows)
