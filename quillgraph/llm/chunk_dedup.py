@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FILTER_BUCKETS, materialize, read_table, text_of
+from .common import materialize, part_by_keys, read_table, text_of
 
 WINDOW = 16
 #: A word start begins a chunk with chance 1 / WORDS, unless another drawn one lies less than LEAST_BYTES before it.
@@ -130,11 +130,9 @@ def cut_repeats(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WO
     repeats = materialize(repeated_chunks(docs, text_col), "chunk-repeats")
     named = repeats.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "repeats")
     # documents that surely lose nothing pass by; the others meet their repeats
-    bucket = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(FILTER_BUCKETS))
-    maybe = F.broadcast(named.select(bucket("_id").alias("_bucket")).distinct())
     out_cols = [*docs.columns, "_found"]
-    apart = docs.join(maybe, bucket("doc_id") == F.col("_bucket"), "left_anti").withColumn("_found", F.lit(None).cast(found_type))
-    some = docs.join(maybe, bucket("doc_id") == F.col("_bucket"), "left_semi")
+    apart, some = part_by_keys(docs, named, "doc_id", "_id")
+    apart = apart.withColumn("_found", F.lit(None).cast(found_type))
     met = some.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(text_col)) == F.col("_hash")), "left").drop("_id", "_hash")
 
     def run(batches):

@@ -71,5 +71,13 @@ def thin(df: DataFrame, keys: DataFrame, cols: list[str], buckets: int = FILTER_
     return df.withColumn("_bucket", bucket(df)).join(F.broadcast(found), "_bucket", "left_semi").drop("_bucket")
 
 
+def part_by_keys(df: DataFrame, keys: DataFrame, col: str, key_col: str, buckets: int = FILTER_BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """df in two: rows whose col is surely not among keys, which need no shuffle to learn that, and the others. Bounded like thin()."""
+    bucket = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(buckets))
+    found = F.broadcast(keys.select(bucket(key_col).alias("_bucket")).distinct())
+    on = bucket(col) == F.col("_bucket")
+    return df.join(found, on, "left_anti"), df.join(found, on, "left_semi")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
