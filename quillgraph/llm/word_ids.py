@@ -6,12 +6,16 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 
 MAX_WORDS = 400_000
+#: A character that makes a word, and a token, of its own; texts that hold it go to the library whole. Words of a run.
+MARK = "\x01"
+RUN = 256
 #: Letters from U+0130 on may change length in lower case or compose; U+001C to U+001F, U+0085 and U+00A0 part words in one of the two only; "<|" may begin an added token.
-_PLAIN = re.compile("[^\x1c-\x1f\x85\xa0İ-\U0010ffff]*")
+_PLAIN = re.compile("[^\x01\x1c-\x1f\x85\xa0İ-\U0010ffff]*")
 
 
 class WordIds:
@@ -20,6 +24,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        (self.mark,) = self.tok.encode(MARK, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
@@ -29,19 +34,27 @@ class WordIds:
         self.length = np.zeros(MAX_WORDS // 4, np.int32)
         self.used = 0
 
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has. Words go to the library in runs parted by MARK, whose id no other word has."""
+        runs = [f" {MARK} ".join([*words[k : k + RUN], ""]) for k in range(0, len(words), RUN)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(runs, add_special_tokens=False)])
+        mark = ids == self.mark
+        return ids[~mark], np.diff(np.flatnonzero(mark), prepend=-1) - 1
+
     def add(self, words: list[str]) -> None:
         for k in range(0, len(words), 20_000):
             part = words[k : k + 20_000]
-            for word, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                ids, i = e.ids, len(self.at)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                if i >= len(self.start):
-                    self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.start[i], self.length[i] = self.used, len(ids)
-                self.used += len(ids)
-                self.at[word] = i
+            ids, counts = self.ids_of(part)
+            n = len(self.at)
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            while n + len(part) > len(self.start):
+                self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.start[n : n + len(part)] = self.used + np.cumsum(counts) - counts
+            self.length[n : n + len(part)] = counts
+            self.used += len(ids)
+            self.at.update(zip(part, range(n, n + len(part))))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text."""
@@ -59,7 +72,7 @@ class WordIds:
         if len(self.at) > MAX_WORDS:
             self.clear()
         get = self.at.get
-        index = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        index = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         if len(missing := np.flatnonzero(index < 0)):
             self.add(list(dict.fromkeys(words[i] for i in missing.tolist())))
             index[missing] = [get(words[i]) for i in missing.tolist()]
