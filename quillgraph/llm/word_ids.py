@@ -1,5 +1,5 @@
 """Token ids of the word-end BPE file, word by word: its pattern never crosses white space, so the ids of a text
-are those of its white-space-parted words in a row. Words are encoded once and kept in a table of bounded size;
+are those of its white-space-parted words in a row. Words are encoded once and kept in a table of bounded size, from which rare ones go first;
 texts on which lower case or white space of Python and of the library could differ go to the library whole."""
 
 from __future__ import annotations
@@ -32,8 +32,41 @@ class WordIds:
         self.flat = np.zeros(1 << 20, np.uint32)
         self.start = np.zeros(MAX_WORDS // 4, np.int64)
         self.length = np.zeros(MAX_WORDS // 4, np.int32)
+        self.uses = np.zeros(MAX_WORDS // 4, np.int64)
         self.used = 0
 
+    def age(self) -> None:
+        """The words of most use stay, half of the table at most, and their uses count half from now on."""
+        n, least = len(self.at), 2
+        while np.count_nonzero(self.uses[:n] >= least) > MAX_WORDS // 2:
+            least *= 2
+        keep = self.uses[:n] >= least
+        uses, counts = self.uses[:n][keep] // 2, self.length[:n][keep].astype(np.int64)
+        ids = self.gather(np.flatnonzero(keep))[0]
+        words = [w for w, stays in zip(self.at, keep.tolist()) if stays]
+        self.clear()
+        self.put(words, ids, counts)
+        self.uses[: len(words)] = uses
+
+    def gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these places in a row, and where each word's end."""
+        lengths = self.length[index].astype(np.int64)
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.start[index] - (ends - lengths), lengths) + np.arange(total)], ends
+
+    def put(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        n = len(self.at)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(words) > len(self.start):
+            self.start, self.length, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.uses))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[n : n + len(words)] = self.used + np.cumsum(counts) - counts
+        self.length[n : n + len(words)] = counts
+        self.used += len(ids)
+        self.at.update(zip(words, range(n, n + len(words))))
+
     def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each has. Words go to the library in runs parted by MARK, whose id no other word has."""
         runs = [f" {MARK} ".join([*words[k : k + RUN], ""]) for k in range(0, len(words), RUN)]
@@ -44,17 +77,7 @@ class WordIds:
     def add(self, words: list[str]) -> None:
         for k in range(0, len(words), 20_000):
             part = words[k : k + 20_000]
-            ids, counts = self.ids_of(part)
-            n = len(self.at)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while n + len(part) > len(self.start):
-                self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[n : n + len(part)] = self.used + np.cumsum(counts) - counts
-            self.length[n : n + len(part)] = counts
-            self.used += len(ids)
-            self.at.update(zip(part, range(n, n + len(part))))
+            self.put(part, *self.ids_of(part))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text."""
@@ -70,16 +93,15 @@ class WordIds:
             else:
                 out[i] = np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
         if len(self.at) > MAX_WORDS:
-            self.clear()
+            self.age()
         get = self.at.get
         index = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         if len(missing := np.flatnonzero(index < 0)):
             self.add(list(dict.fromkeys(words[i] for i in missing.tolist())))
             index[missing] = [get(words[i]) for i in missing.tolist()]
-        lengths = self.length[index].astype(np.int64)
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.start[index] - (ends - lengths), lengths) + np.arange(total)]
+        if len(index):
+            self.uses[: len(self.at)] += np.bincount(index, minlength=len(self.at))
+        ids, ends = self.gather(index)
         at_word = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         at_id = np.concatenate([[0], ends])[at_word]
         for k, i in enumerate(plain):
