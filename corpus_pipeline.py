@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import chunk_dedup, line_templates, packing, quality, shingle_join
-from quillgraph.llm.common import materialize, read_table
+from quillgraph.llm.common import materialize, read_table, scratch_scope
 
 
 def _recount(docs: DataFrame) -> DataFrame:
@@ -48,5 +48,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch_scope(spark):
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", stays=True)
     return STAGES[-1][1](spark, docs, sf_dir)

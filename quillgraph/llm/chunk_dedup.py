@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, part_by_keys, read_table, text_of
+from .common import materialize, part_by_keys, read_table, scratch_scope, text_of
 
 WINDOW = 16
 #: A word start begins a chunk with chance 1 / WORDS, unless another drawn one lies less than LEAST_BYTES before it.
@@ -127,7 +127,8 @@ def _runs(text: bytes, repeats: list[dict], min_words: int) -> list[tuple[int, i
 def cut_repeats(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS, found_col: str | None = None) -> DataFrame:
     """docs without the runs of repeated chunks; found_col, if given, gets a struct: spans (bytes of the text as it was) and repeat_of (doc_ids that keep them)."""
     found_type = "struct<spans:array<struct<start:int,end:int>>,repeat_of:array<bigint>>"
-    repeats = materialize(repeated_chunks(docs, text_col), "chunk-repeats")
+    with scratch_scope(docs.sparkSession):
+        repeats = materialize(repeated_chunks(docs, text_col), "chunk-repeats", stays=True)
     named = repeats.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "repeats")
     # documents that surely lose nothing pass by; the others meet their repeats
     out_cols = [*docs.columns, "_found"]

@@ -7,6 +7,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,28 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Removes the scratch tables written within it when it ends, but for those that materialize(..., stays=True) wrote.
+    What leaves the scope must read such tables only."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _remove(spark, path)
+
+
+def scratch_path(spark: SparkSession, name: str, stays: bool = False) -> str:
     path = f"{scratch_root(spark)}/quillgraph/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    scopes = _scopes[:-1] if stays else _scopes
+    if scopes:
+        scopes[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
     return path
 
 
@@ -44,10 +64,10 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
+    """df written as Parquet to the shared folder and read back: cuts lineage, survives lost executors. stays: beyond the innermost scratch_scope()."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_path(spark, name, stays)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, text_of, thin
+from .common import materialize, read_table, scratch_scope, text_of, thin
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -382,7 +382,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each class, that of the smallest id."""
-    gone = materialize(jaccard_classes(docs, id_col, text_col, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "shingle-gone")
+    with scratch_scope(docs.sparkSession):
+        gone = materialize(jaccard_classes(docs, id_col, text_col, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "shingle-gone", stays=True)
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
 
 
