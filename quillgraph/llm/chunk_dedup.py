@@ -29,7 +29,7 @@ WINDOW = 16
 WORDS = 7
 LEAST_BYTES = 20
 MIN_WORDS = 20
-AT_A_TIME = 1 << 22
+AT_A_TIME = 1 << 20
 
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 _BLANK = np.zeros(256, bool)

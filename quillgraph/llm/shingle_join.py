@@ -22,6 +22,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,13 @@ def _power(name: str, n: int) -> np.ndarray:
     return _powers[name]
 
 
+def _release() -> None:
+    """Drops powers for a text longer than a slice, so that one such text does not stay in the worker's memory."""
+    for name, held in _powers.items():
+        if len(held) > 2 * AT_A_TIME:
+            _powers[name] = held[:AT_A_TIME].copy()
+
+
 def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all shingles of the texts, and how many each text has (repeats included)."""
     joined = b"\n".join(texts) + b"\n"
@@ -111,25 +119,25 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
     return out, counts
 
 
-#: Bytes of text that are hashed at a time; bounds what numpy holds.
-AT_A_TIME = 1 << 22
+#: Bytes of text that are hashed at a time; bounds what numpy holds (some 30 bytes for each) and the powers that a worker keeps.
+AT_A_TIME = 1 << 20
 
 
-def slices(texts: list[bytes], limit: int = AT_A_TIME):
+def slices(sizes: list[int], limit: int = AT_A_TIME):
     """(from, to) of runs of texts of about limit bytes, one text at least."""
     a = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) + 1
+    for i, n in enumerate(sizes):
+        size += n + 1
         if size >= limit:
             yield a, i + 1
             a, size = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+    if a < len(sizes):
+        yield a, len(sizes)
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     out: list[np.ndarray] = []
-    for a, b in slices(texts):
+    for a, b in slices([len(t) for t in texts]):
         values, counts = shingles(texts[a:b], words)
         out += [np.unique(x) for x in np.split(values, np.cumsum(counts)[:-1])]
     return out
@@ -158,7 +166,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for a, b in slices(whole.column("text").to_pylist()):
+            for a, b in slices(pa.compute.binary_length(whole.column("text")).to_pylist()):
                 batch = whole.slice(a, b - a)
                 sets = shingle_sets(batch.column("text").to_pylist())
                 counts = np.array([len(s) for s in sets], np.int64)
@@ -170,6 +178,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     for name, salt in zip(names, (_U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F))):
                         name[full] = np.add.reduceat(_mix(values ^ salt), at)
                 drawn = sketch(values, counts)
+                _release()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), *(pa.array(x.view(np.int64)) for x in names), pa.array(counts), pa.array([x.tobytes() for x in drawn], pa.binary())],
                     ["doc_id", "set_a", "set_b", "size", "sketch"],
