@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, part_by_keys, read_table, scratch_scope, text_of
+from .common import byte_batches, materialize, part_by_keys, read_table, scratch_scope, text_of
 
 WINDOW = 16
 #: A word start begins a chunk with chance 1 / WORDS, unless another drawn one lies less than LEAST_BYTES before it.
@@ -65,6 +65,7 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
 
 def chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, start, length, digest of each chunk; again: an equal chunk stands before it in the same text."""
+    byte_batches(docs.sparkSession)
     source = _keyed(docs, text_col)
     id_type = source.schema["doc_id"].dataType.simpleString()
 

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: ASCII white space, as the contracts give it.
 WS = r"[\x20\x09-\x0D]"
 
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
 #: Buckets of the thinning filter; one long each, so its broadcast is bounded by some tens of MB at any scale.
 FILTER_BUCKETS = 1 << 20
 
@@ -72,6 +75,25 @@ def materialize(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def byte_batches(spark: SparkSession) -> None:
+    """Has Spark hand rows to Python in Arrow batches of BATCH_BYTES, as a batch of 10,000 long texts would fill a worker and its executor's
+    buffers. A limit that the cluster or the caller has set stays."""
+    if BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
+
+def slices(sizes: list[int], limit: int):
+    """(from, to) of runs of texts of about limit bytes, one text at least."""
+    a = size = 0
+    for i, n in enumerate(sizes):
+        size += n + 1
+        if size >= limit:
+            yield a, i + 1
+            a, size = i + 1, 0
+    if a < len(sizes):
+        yield a, len(sizes)
+
+
 def text_of(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

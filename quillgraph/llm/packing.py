@@ -19,20 +19,21 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, text_of
+from .common import byte_batches, read_table, slices, text_of
 from .word_ids import word_ids
 
 WINDOW = 4096
 SMALLEST_TIER = 512
 #: Windows of 4096 tokens in a step group; shorter tiers have as many tokens in more windows.
 STEP_WINDOWS = 8
-#: Tokens that a task gathers before it packs; rows of an Arrow batch that are tokenized at a time.
+#: Tokens that a task gathers before it packs; bytes of text that are tokenized at a time.
 BUFFER_TOKENS = 1 << 22
-ROWS_AT_A_TIME = 256
+AT_A_TIME = 1 << 19
 
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "context", "step_group")
 
@@ -119,6 +120,7 @@ class Packer:
 
 def pack_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, smallest: int = SMALLEST_TIER, buffer_tokens: int = BUFFER_TOKENS) -> DataFrame:
     """A row for each piece, with COLUMNS: context is the tier of its sequence, step_group numbers groups of equal tokens within a task and tier."""
+    byte_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, context bigint, step_group bigint"
@@ -135,8 +137,8 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: s
 
         for batch in batches:
             types = batch.schema.field("doc_id").type
-            for k in range(0, batch.num_rows, ROWS_AT_A_TIME):
-                part = batch.slice(k, ROWS_AT_A_TIME)
+            for a, b in slices(pa.compute.binary_length(batch.column("text")).to_pylist(), AT_A_TIME):
+                part = batch.slice(a, b - a)
                 for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist())):
                     held.append((doc, np.concatenate([ids, end]), 0))
                     size += len(ids) + 1

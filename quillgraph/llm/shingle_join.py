@@ -26,7 +26,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, scratch_scope, text_of, thin
+from .common import byte_batches, materialize, read_table, scratch_scope, slices, text_of, thin
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -123,21 +123,9 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
 AT_A_TIME = 1 << 20
 
 
-def slices(sizes: list[int], limit: int = AT_A_TIME):
-    """(from, to) of runs of texts of about limit bytes, one text at least."""
-    a = size = 0
-    for i, n in enumerate(sizes):
-        size += n + 1
-        if size >= limit:
-            yield a, i + 1
-            a, size = i + 1, 0
-    if a < len(sizes):
-        yield a, len(sizes)
-
-
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     out: list[np.ndarray] = []
-    for a, b in slices([len(t) for t in texts]):
+    for a, b in slices([len(t) for t in texts], AT_A_TIME):
         values, counts = shingles(texts[a:b], words)
         out += [np.unique(x) for x in np.split(values, np.cumsum(counts)[:-1])]
     return out
@@ -166,7 +154,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for a, b in slices(pa.compute.binary_length(whole.column("text")).to_pylist()):
+            for a, b in slices(pa.compute.binary_length(whole.column("text")).to_pylist(), AT_A_TIME):
                 batch = whole.slice(a, b - a)
                 sets = shingle_sets(batch.column("text").to_pylist())
                 counts = np.array([len(s) for s in sets], np.int64)
@@ -369,6 +357,7 @@ def _compare(rows: DataFrame, threshold: float) -> DataFrame:
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """A row for each of docs: doc_id, class_id (smallest id of its connected class), n_links (documents at or above the threshold)."""
+    byte_batches(docs.sparkSession)
     base = materialize(sketches(docs, id_col, text_col), "shingle-sketches")
     key = ["set_a", "set_b", "size"]
     reps = materialize(base.filter("size > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "shingle-reps")
