@@ -15,18 +15,12 @@ from quillgraph.operators import resolve as R
 from quillgraph.operators import search as V
 from quillgraph.operators import segment as G
 from quillgraph.operators import tables as S
+from quillgraph.plans import evidence_queries
 from quillgraph.plans.adapt import AS_OF_YEAR, EVIDENCE_SQL, RESULTS_SQL, entities, evidence, results
+from quillgraph.plans.collect import collector
 from quillgraph.sources.readers import table
 
-QUERIES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = (f, sql)
-        return f
-
-    return add
+QUERIES, query = collector()
 
 
 def _edges(spark, sf, relation=None, min_conf=60):
@@ -468,6 +462,9 @@ def replace_for_paper(spark, sf):
     return S.replace_for_key(li.select("l_orderkey", "l_linenumber", "l_quantity"), new, "l_orderkey")
 
 
+QUERIES |= evidence_queries.QUERIES
+
+
 def queries() -> dict:
     return {k: f for k, (f, _) in QUERIES.items()}
 
