@@ -283,6 +283,26 @@ def test_line_templates(spark):
     assert line_templates.drop_recurring_lines(docs_of(spark, [])).count() == 0
 
 
+def test_lines_recur_by_documents(spark):
+    """Paragraphs parted by blank lines, a footer of three lines at the text's end, and groups of copies and near copies that hold the same footer."""
+    prose = lambda k: " ".join(words(k, 30))
+    footer = ["Copies of this letter go to all readers", "Write to the office for back issues", "Printed in the old town by friends"]
+    page = lambda k: [prose(k), prose(5000 + k), prose(10_000 + k), *footer]
+    rows = [(i, "\n\n".join(page(i)) if i % 2 else "\n".join(page(i))) for i in range(40)]
+    copies = [(100 + i, "\n\n".join(page(77))) for i in range(200)]
+    near = [(400 + i, "\n\n".join(x + (f" {prose(20_000 + i)[:8]}" if k == i % 6 else "") for k, x in enumerate([prose(900 + k) for k in range(6)]))) for i in range(15)]
+    out = {x["doc_id"]: x for x in line_templates.drop_recurring_lines(docs_of(spark, rows + copies + near), n_col="dropped", by_documents=True).collect()}
+    for i, t in rows + copies:
+        assert out[i]["dropped"] == 3 and [x for x in t.split("\n") if x not in footer] == out[i]["text"].split("\n"), i
+    for i, t in near:
+        assert out[i]["dropped"] == 0 and out[i]["text"] == t
+    assert line_templates.drop_recurring_lines(docs_of(spark, []), by_documents=True).count() == 0
+    import corpus_pipeline
+
+    kept = corpus_pipeline.line_dedup(spark, docs_of(spark, rows), "").collect()
+    assert not any(x in r["text"] for r in kept for x in footer)
+
+
 def test_quality_on_awkward_rows(spark):
     good = " ".join(words(11, 120))
     rows = AWKWARD + [(40, good), (41, " ".join(["same old words"] * 40)), (42, good.upper()), (43, good.replace(" ", "### "))]
