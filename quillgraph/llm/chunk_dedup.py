@@ -2,11 +2,13 @@
 
 A gear rolling hash of the preceding WINDOW bytes decides at each word start (in scripts without spaces, at each
 character) whether a chunk begins there. Both that and the rule for the least length look at near bytes only, so an
-insertion moves boundaries no further than itself, and equal passages fall into equal chunks wherever they stand.
+insertion moves boundaries no further than itself, and equal passages fall into equal pieces wherever they stand.
+A chunk is SPAN pieces in a row, and one begins at each piece, so that chunks overlap: they are long enough not to be
+equal by chance, and the ends of a passage are found to a piece.
 Chunks are known by a BLAKE2b digest of 128 bits. Of equal chunks the first of the smallest doc_id stays; a run of repeated chunks of
 MIN_WORDS words or more is cut out.
 
-A passage of 50 words keeps some MIN_WORDS words in whole chunks (its ends lie in chunks that reach beyond it), while
+A passage of 50 words keeps MIN_WORDS words and more in whole chunks (its ends lie in pieces that reach beyond it), while
 phrases that texts have in common by chance are shorter. Counts are taken map-side; hot digests are split in the
 join; only texts of documents that may lose something are shuffled.
 
@@ -25,9 +27,11 @@ from pyspark.sql import functions as F
 from .common import byte_batches, materialize, part_by_keys, read_table, scratch_scope, text_of
 
 WINDOW = 16
-#: A word start begins a chunk with chance 1 / WORDS, unless another drawn one lies less than LEAST_BYTES before it.
-WORDS = 7
-LEAST_BYTES = 20
+#: A word start begins a piece with chance 1 / WORDS, unless another drawn one lies less than LEAST_BYTES before it.
+WORDS = 3
+LEAST_BYTES = 8
+#: Pieces of a chunk: some 11 words.
+SPAN = 3
 MIN_WORDS = 20
 AT_A_TIME = 1 << 20
 
@@ -37,7 +41,7 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def chunk_starts(raw: np.ndarray) -> np.ndarray:
-    """Offsets of the chunks of a text's bytes; the first is 0. An empty text has none."""
+    """Offsets of the pieces of a text's bytes; the first is 0. An empty text has none."""
     n = len(raw)
     if not n:
         return np.zeros(0, np.int64)
@@ -58,6 +62,16 @@ def chunk_starts(raw: np.ndarray) -> np.ndarray:
     return np.append(0, drawn[drawn > 0])
 
 
+def chunk_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the chunks of a text's bytes; the last one ends with the text."""
+    at = chunk_starts(raw)
+    if not len(at):
+        return at, at
+    end = np.append(at[1:], len(raw))
+    last = max(1, len(at) - SPAN + 1)
+    return at[:last], end[min(SPAN, len(at)) - 1 :]
+
+
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     text = text_of(text_col)
     return docs.select(F.col("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
@@ -83,10 +97,9 @@ def chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
             size = 0
             for i, text in enumerate(batch.column("text")):
                 text = text.as_py()
-                at = chunk_starts(np.frombuffer(text, np.uint8))
+                at, end = chunk_spans(np.frombuffer(text, np.uint8))
                 if not len(at):
                     continue
-                end = np.append(at[1:], len(text))
                 own = [hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(at.tolist(), end.tolist())]
                 seen: set = set()
                 again += [d in seen or seen.add(d) is not None for d in own]
@@ -114,11 +127,11 @@ def repeated_chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _runs(text: bytes, repeats: list[dict], min_words: int) -> list[tuple[int, int, list[int]]]:
-    """(start, end, first ids) of runs of adjoining repeats with at least min_words words."""
+    """(start, end, first ids) of runs of overlapping or adjoining repeats with at least min_words words."""
     out: list = []
     for r in repeats:
         a, b = r["start"], r["start"] + r["length"]
-        if out and out[-1][1] == a:
+        if out and out[-1][1] >= a:
             out[-1] = (out[-1][0], b, [*out[-1][2], r["first_id"]])
         else:
             out.append((a, b, [r["first_id"]]))

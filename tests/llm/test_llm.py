@@ -216,6 +216,23 @@ def test_repeated_passages_are_cut(spark):
     assert chunk_dedup.cut_repeats(docs_of(spark, [])).count() == 0
 
 
+def test_passages_little_above_50_words_are_cut(spark):
+    passages = [" ".join(words(30_000 + k, 51 + k % 10)) for k in range(200)]
+    rows = [(i, " ".join(words(40_000 + i, 60)) + " " + passages[i % 200] + " " + " ".join(words(50_000 + i, 60))) for i in range(400)]
+    out = {r["doc_id"]: r for r in chunk_dedup.cut_repeats(docs_of(spark, rows), found_col="found").collect()}
+    shares = []
+    for i, t in rows[200:]:
+        spans = out[i]["found"]["spans"] if out[i]["found"] else []
+        for s in spans:  # what is cut stands in the passage
+            assert t.encode()[s["start"] : s["end"]].decode().strip() in passages[i % 200]
+        shares.append(sum(s["end"] - s["start"] for s in spans) / len(passages[i % 200]))
+    assert sum(x > 0 for x in shares) >= 199 and np.mean(shares) > 0.8
+    assert all(out[i]["text"] == t for i, t in rows[:200])
+    # a text of one period stays once
+    beat = " ".join(["one two three four five six seven"] * 60)
+    assert chunk_dedup.cut_repeats(docs_of(spark, [(1, beat)])).first()["text"].startswith("one")
+
+
 def brute_jaccard(rows):
     sets = {}
     for i, t in rows:
