@@ -5,7 +5,7 @@ subsequence of their places is kept; the gaps between anchors, and the ends, are
 a gap's ends are matched. Coverage is the share of the template's words that are matched.
 
 Only windows that can reach the coverage are aligned: a text must have one of the words without which it can't be
-reached, and the window enough words of the template. Both tests are exact bounds. Each text is read whole, in its own row; there is no shuffle.
+reached, and the window enough words of the template. Both tests are exact bounds. Of these windows, overlapping ones too, the best counts. Each text is read whole, in its own row; there is no shuffle.
 
 Defined results: a null, empty or unlicensed text gives no row; of equal coverages in one text the first window counts; repeated rows repeat
 their results; other columns are not read.
@@ -133,16 +133,16 @@ class Scanner:
             sums = np.concatenate([[0], np.cumsum(inside)])
             ends = np.minimum(np.arange(len(own)) + width, len(own))
             may = np.flatnonzero((sums[ends] - sums[:-1] >= self.min * len(t)) & (inside > 0))
-            best, last = None, -1
-            for p in may.tolist():
-                if p < last:
+            best, matched = None, 0
+            for p, most in zip(may.tolist(), (sums[ends] - sums[:-1])[may].tolist()):
+                if matched == len(t):
+                    break
+                if most <= matched:  # too few of the template's words to better the best window
                     continue
                 pairs = align(own[p : p + width], t)
-                got = (len(pairs) / len(t), len(pairs), p + pairs[0][0], p + pairs[-1][0]) if pairs else None
-                if got and got[0] >= self.min:
-                    last = got[3]  # the next window begins after this match
-                    if best is None or got[0] > best[0]:
-                        best = got
+                if len(pairs) > matched and len(pairs) / len(t) >= self.min:
+                    matched = len(pairs)
+                    best = (matched / len(t), matched, p + pairs[0][0], p + pairs[-1][0])
             if best:
                 out.append((name, *best))
         return out

@@ -181,6 +181,19 @@ def test_license_alignment():
     assert hit[1] > 0.97 and hit[3] == 300
 
 
+def test_licenses_behind_prose_are_found_whole():
+    s = license_scan.Scanner(license_scan.TEMPLATES, 0.8)
+    (hit,) = [h for h in s.scan("the cat sat on a mat released under the mit license today") if h[0] == "MIT-line"]
+    assert hit == ("MIT-line", 1.0, 5, 6, 10)
+    r = random.Random(8)
+    for name in ("MIT", "Apache-2.0-notice"):
+        n = len(license_scan.words(license_scan.TEMPLATES[name]))
+        for _ in range(10):
+            prose = [r.choice(["the", "of", "to", "and", *words(r.randrange(999), 6)]) for _ in range(100)]
+            (hit,) = [h for h in s.scan(" ".join(prose) + " " + license_scan.TEMPLATES[name] + " " + " ".join(words(9, 100))) if h[0] == name]
+            assert hit[1:] == (1.0, n, 100, 99 + n)
+
+
 def test_licenses_on_awkward_rows(spark):
     rows = AWKWARD + [(20, "z " * 10 + "Licensed under the Apache License, Version 2.0.\nlicensed under the apache LICENSE version 2.0")]
     got = license_scan.license_spans(docs_of(spark, rows)).collect()
