@@ -149,8 +149,8 @@ def sketch(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, set_a and set_b (a name of 128 bits for the set), size and sketch of each document."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
+    """doc_id, text_hash, set_a and set_b (a name of 128 bits for the set), size and sketch of each document."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col).cast("binary").alias("text"))
 
     def run(batches):
         for whole in batches:
@@ -168,11 +168,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 drawn = sketch(values, counts)
                 _release()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), *(pa.array(x.view(np.int64)) for x in names), pa.array(counts), pa.array([x.tobytes() for x in drawn], pa.binary())],
-                    ["doc_id", "set_a", "set_b", "size", "sketch"],
+                    [batch.column("doc_id"), batch.column("text_hash"), *(pa.array(x.view(np.int64)) for x in names), pa.array(counts), pa.array([x.tobytes() for x in drawn], pa.binary())],
+                    ["doc_id", "text_hash", "set_a", "set_b", "size", "sketch"],
                 )
 
-    return source.mapInArrow(run, "doc_id bigint, set_a bigint, set_b bigint, size bigint, sketch binary")
+    return source.mapInArrow(run, "doc_id bigint, text_hash bigint, set_a bigint, set_b bigint, size bigint, sketch binary")
 
 
 def _children(path: np.ndarray, drawn: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -355,34 +355,59 @@ def _compare(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("root", "b1", "b2").applyInPandas(run, "rep bigint, links bigint, near bigint")
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each of docs: doc_id, class_id (smallest id of its connected class), n_links (documents at or above the threshold)."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The sketches of docs, and for each distinct set (set_a, set_b, size) its links and the first row of its class: first, a struct of no_id, doc_id and text_hash."""
     byte_batches(docs.sparkSession)
     base = materialize(sketches(docs, id_col, text_col), "shingle-sketches")
     key = ["set_a", "set_b", "size"]
-    reps = materialize(base.filter("size > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "shingle-reps")
+    full = base.filter("size > 0").withColumn("first", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    # a set is known by a number of its own, as ids may repeat or be null; written, so that it stays the same
+    reps = full.groupBy(*key).agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("copies"))
+    reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "shingle-reps")
     # one row of each class of copies has the sketch: equal sets have equal sketches, so any will do
-    sets = base.filter("size > 0").select(F.col("doc_id").alias("rep"), *key, "sketch").join(reps.select("rep", *key), ["rep", *key], "left_semi").dropDuplicates(["rep", *key]).select("rep", "sketch")
+    named = reps.select("rep", *(F.col(k).alias(f"_{k}") for k in key), F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    same = [F.col(k) == F.col(f"_{k}") for k in key] + [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("text_hash") == F.col("_hash")]
+    sets = full.join(named, same).dropDuplicates(["rep"]).select("rep", "sketch")
     groups = candidate_groups(materialize(sets, "shingle-sets"))
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    wanted = materialize(groups.join(sizes, "root").join(reps.select(F.col("rep").alias("node"), "copies", "size"), "node").select(F.col("node").alias("rep"), "root", "n", "copies"), "shingle-wanted")
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), text_of(text_col).cast("binary").alias("text"))
-    texts = thin(texts, wanted, ["rep"]).join(wanted, "rep").dropDuplicates(["rep"])
+    wanted = groups.join(sizes, "root").join(reps.select(F.col("rep").alias("node"), "copies", "size", "first.doc_id", "first.text_hash"), "node")
+    wanted = materialize(wanted.select(F.col("node").alias("rep"), "root", "n", "copies", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "shingle-wanted")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col).cast("binary").alias("text"))
+    texts = thin(texts, wanted.select(F.col("_id").alias("doc_id"), F.col("_hash").alias("text_hash")), ["doc_id", "text_hash"])
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).dropDuplicates(["rep"]).drop("doc_id", "text_hash", "_id", "_hash")
     found = materialize(_compare(_blocks(texts, "n", "rep", BLOCK_SETS // 2), threshold), "shingle-links")
     linked = components(found.filter("rep <> near").select(F.col("rep").alias("a"), F.col("near").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links")).join(linked, F.col("rep") == F.col("node"), "left").select("rep", "links", F.coalesce("root", "rep").alias("class"))
     # classes by set: all copies of a representative have its class
-    named = reps.join(links, "rep", "left").select(*key, F.coalesce("class", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")).filter("links > 0")
-    named = materialize(named, "shingle-classes")
-    out = base.select("doc_id", *key).join(named, key, "left")
-    return out.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    own = reps.join(links, "rep", "left").select(*key, "first", F.coalesce("class", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")).filter("links > 0")
+    own = materialize(own, "shingle-own")
+    firsts = own.groupBy("class").agg(F.min("first").alias("first"))
+    return base, materialize(own.drop("first").join(firsts, "class").select(*key, "links", "first"), "shingle-classes")
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """A row for each of docs: doc_id, class_id (smallest id of its connected class; null if none has one), n_links (documents at or above the threshold)."""
+    base, classes = _classes(docs, id_col, text_col, threshold)
+    out = base.join(classes, ["set_a", "set_b", "size"], "left")
+    return out.select("doc_id", F.when(F.col("links").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each class, that of the smallest id."""
+    """docs with one row of each class: of its smallest id, and of that id's texts the one with the smallest hash; null ids come last."""
     with scratch_scope(docs.sparkSession):
-        gone = materialize(jaccard_classes(docs, id_col, text_col, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "shingle-gone", stays=True)
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+        base, classes = _classes(docs, id_col, text_col, threshold)
+        rows = base.select("doc_id", "text_hash", "set_a", "set_b", "size").join(classes, ["set_a", "set_b", "size"])
+        first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+        marks = rows.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
+        marks = materialize(marks.filter("not first or n > 1"), "shingle-marks", stays=True)
+    on = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(text_col)) == F.col("_hash"))
+    gone, twice = marks.filter("not first"), marks.filter("first")
+    kept = docs.join(gone, on, "left_anti")
+    if twice.isEmpty():
+        return kept
+    # rows that repeat the id and text of a class's first row: one of them stays
+    again = kept.join(twice, on, "left_semi").withColumn("_text", text_of(text_col)).dropDuplicates([id_col, "_text"]).drop("_text")
+    return kept.join(twice, on, "left_anti").unionByName(again)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -288,6 +288,17 @@ def test_jaccard_classes_equal_brute_force(spark, corpus, monkeypatch):
     assert shingle_join.jaccard_classes(docs_of(spark, [])).count() == 0
 
 
+def test_near_copies_with_repeated_and_null_ids(spark):
+    text = lambda k, end="": " ".join(words(60_000 + k, 100)) + end
+    rows = [(1, text(1)), (2, text(1, " more")), (2, text(2)), (3, text(3)), (3, text(3)), (None, text(4)), (None, text(4)), (None, text(4, " more")), (5, text(5)), (None, text(5, " more")), (6, text(6)), (6, text(7)), (7, text(7, " more")), (8, None), (8, None)]
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in shingle_join.drop_near_copies(docs_of(spark, rows)).collect())
+    fours = [x for x in kept if x[1].startswith(text(4))]
+    assert len(fours) == 1 and fours[0][0] == "None"
+    assert [x for x in kept if x not in fours] == sorted([("1", text(1)), ("2", text(2)), ("3", text(3)), ("5", text(5)), ("6", text(6)), ("6", text(7)), ("8", ""), ("8", "")])
+    got = [(str(r["doc_id"]), str(r["class_id"]), r["n_links"]) for r in shingle_join.jaccard_classes(docs_of(spark, rows)).collect()]
+    assert sorted(got) == sorted([("1", "1", 1), ("2", "1", 1), ("2", "2", 0), ("3", "3", 1), ("3", "3", 1), *[("None", "None", 2)] * 3, ("5", "5", 1), ("None", "5", 1), ("6", "6", 0), ("6", "6", 1), ("7", "6", 1), ("8", "8", 0), ("8", "8", 0)])
+
+
 def test_exact_groups_on_awkward_rows(spark):
     import re
 
