@@ -1,18 +1,21 @@
 """Substring dedup by content-defined chunking.
 
-A gear rolling hash of the preceding WINDOW bytes decides at each word start (in scripts without spaces, at each
-character) whether a chunk begins there. Both that and the rule for the least length look at near bytes only, so an
+A gear rolling hash of the preceding WINDOW bytes decides at each word start (in scripts without spaces, and in words beyond
+LONG_WORD bytes, at each character) whether a chunk begins there. Both that and the rule for the least length look at near bytes only, so an
 insertion moves boundaries no further than itself, and equal passages fall into equal pieces wherever they stand.
 A chunk is SPAN pieces in a row, and one begins at each piece, so that chunks overlap: they are long enough not to be
 equal by chance, and the ends of a passage are found to a piece.
 Chunks are known by a BLAKE2b digest of 128 bits. Of equal chunks the first of the smallest doc_id stays; a run of repeated chunks of
-MIN_WORDS words or more is cut out.
+MIN_WORDS words or more is cut out, where a run counts as a word for each WORD_CHARS characters at least: so the measure holds for scripts without spaces too.
+A passage below it is no repeat.
 
 A passage of 50 words keeps MIN_WORDS words and more in whole chunks (its ends lie in pieces that reach beyond it), while
 phrases that texts have in common by chance are shorter. Counts are taken map-side; hot digests are split in the
 join; only texts of documents that may lose something are shuffled.
 
-Defined results: a null text is empty and has no chunk; of repeated rows with one doc_id and text all are the first; an empty table gives no rows; other columns are kept.
+Defined results: a null text is empty and has no chunk; of repeated rows with one doc_id and text all are the first; of texts with one doc_id
+that with the smallest hash is; null ids come last; very long texts are read whole, in their own row; an empty table gives no rows; ids may have any type that can be
+ordered; other columns, of whatever name, are kept.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import byte_batches, materialize, part_by_keys, read_table, scratch_scope, text_of
+from .common import byte_batches, materialize, part_by_keys, read_table, release_memory, row_columns, salted_join, scratch_scope, text_of, thin, whole_row
 
 WINDOW = 16
 #: A word start begins a piece with chance 1 / WORDS, unless another drawn one lies less than LEAST_BYTES before it.
@@ -33,6 +37,8 @@ LEAST_BYTES = 8
 #: Pieces of a chunk: some 11 words.
 SPAN = 3
 MIN_WORDS = 20
+WORD_CHARS = 8
+LONG_WORD = 64
 AT_A_TIME = 1 << 20
 
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
@@ -56,6 +62,10 @@ def chunk_starts(raw: np.ndarray) -> np.ndarray:
     wide = np.flatnonzero(raw >= 0xE3)  # lead bytes of scripts that use no spaces; the byte before ends such a character too
     wide = wide[wide >= 3]
     start[wide[raw[wide - 3] >= 0xE3]] = True
+    # in words of no end, such as encoded data: characters that have no white space within LONG_WORD bytes before them
+    last_blank = np.maximum.accumulate(np.where(blank, np.arange(n), -1))
+    inside = np.arange(n) - last_blank > LONG_WORD
+    start[inside & ((raw & 0xC0) != 0x80)] = True
     at = np.flatnonzero(start)
     drawn = at[(h[at - 1] >> np.uint32(8)) % np.uint32(WORDS) == 0]
     drawn = drawn[np.diff(drawn, prepend=-LEAST_BYTES) >= LEAST_BYTES]
@@ -113,6 +123,7 @@ def chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     rows, starts, lengths, digests, again, size = [], [], [], [], [], 0
             if rows:
                 yield out()
+        release_memory()
 
     return source.mapInArrow(run, f"doc_id {id_type}, text_hash bigint, start int, length int, digest binary, again boolean")
 
@@ -120,58 +131,63 @@ def chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def repeated_chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, text_hash and the sorted list of its chunks that are repeats: structs of start, length, first_id."""
     all_chunks = chunks(docs, text_col)
-    twice = all_chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1").select("digest", "first_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    twice = all_chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1").select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
     twice = materialize(twice, "chunk-digests")
-    met = all_chunks.join(twice.hint("shuffle_hash"), "digest").filter(F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("first_id")))
+    met = salted_join(thin(all_chunks, twice, ["digest"]), twice, ["digest"], salts=8)
+    met = met.filter(F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("first_id")) | (F.col("text_hash") != F.col("first_hash")))
     return met.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "length", "first_id"))).alias("repeats"))
 
 
-def _runs(text: bytes, repeats: list[dict], min_words: int) -> list[tuple[int, int, list[int]]]:
+def _runs(text: bytes, repeats: list[dict], min_words: int) -> list[tuple[int, int, list]]:
     """(start, end, first ids) of runs of overlapping or adjoining repeats with at least min_words words."""
     out: list = []
     for r in repeats:
         a, b = r["start"], r["start"] + r["length"]
         if out and out[-1][1] >= a:
-            out[-1] = (out[-1][0], b, [*out[-1][2], r["first_id"]])
+            out[-1][1] = max(out[-1][1], b)
+            out[-1][2].append(r["first_id"])
         else:
-            out.append((a, b, [r["first_id"]]))
-    return [x for x in out if len(text[x[0] : x[1]].split()) >= min_words]
+            out.append([a, b, [r["first_id"]]])
+    own = [text[a:b] for a, b, _ in out]
+    return [tuple(x) for x, t in zip(out, own) if max(len(t.split()), len(t.decode()) // WORD_CHARS) >= min_words]
 
 
 def cut_repeats(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS, found_col: str | None = None) -> DataFrame:
     """docs without the runs of repeated chunks; found_col, if given, gets a struct: spans (bytes of the text as it was) and repeat_of (doc_ids that keep them)."""
-    found_type = "struct<spans:array<struct<start:int,end:int>>,repeat_of:array<bigint>>"
     with scratch_scope(docs.sparkSession):
         repeats = materialize(repeated_chunks(docs, text_col), "chunk-repeats", stays=True)
-    named = repeats.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "repeats")
+    named = repeats.select(F.col("doc_id").alias("repeat_id"), F.col("text_hash").alias("repeat_hash"), "repeats")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    found_type = f"struct<spans:array<struct<start:int,end:int>>,repeat_of:array<{id_type}>>"
     # documents that surely lose nothing pass by; the others meet their repeats
-    out_cols = [*docs.columns, "_found"]
-    apart, some = part_by_keys(docs, named, "doc_id", "_id")
-    apart = apart.withColumn("_found", F.lit(None).cast(found_type))
-    met = some.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(text_col)) == F.col("_hash")), "left").drop("_id", "_hash")
+    own = docs.select(whole_row(docs), docs["doc_id"], docs[text_col].alias("text"))
+    apart, some = part_by_keys(own, named, "doc_id", "repeat_id")
+    met = some.join(named, F.col("doc_id").eqNullSafe(F.col("repeat_id")) & (F.xxhash64(text_of()) == F.col("repeat_hash")), "left")
 
     def run(batches):
         for batch in batches:
-            text, lists = batch.column(text_col), batch.column("repeats")
-            texts, found = [], []
-            for t, r in zip(text, lists):
+            texts, spans, firsts = [], [], []
+            for t, r in zip(batch.column("text"), batch.column("repeats")):
                 t, r = t.as_py(), r.as_py()
                 raw = (t or "").encode()
                 runs = _runs(raw, r or [], min_words)
                 if runs:
                     at = [0, *(x for a, b, _ in runs for x in (a, b)), len(raw)]
                     t = b"".join(raw[a:b] for a, b in zip(at[::2], at[1::2])).decode()
-                    found.append({"spans": [{"start": a, "end": b} for a, b, _ in runs], "repeat_of": sorted({i for *_, ids in runs for i in ids if i is not None})})
-                else:
-                    found.append(None)
                 texts.append(t)
-            cols = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in out_cols[:-1]]
-            kind = pa.struct([("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("repeat_of", pa.list_(pa.int64()))])
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(found, kind)], out_cols)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", _found {found_type}"
-    out = apart.unionByName(met.select(*docs.columns, "repeats").mapInArrow(run, schema))
-    return out.withColumnRenamed("_found", found_col) if found_col else out.drop("_found")
+                spans.append([{"start": a, "end": b} for a, b, _ in runs] or None)
+                firsts.append(sorted({i for *_, ids in runs for i in ids if i is not None}) if runs else None)
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            ids = pa.list_(batch.schema.field("doc_id").type)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(spans, kind), pa.array(firsts, ids)], ["row", "new_text", "spans", "repeat_of"])
+        release_memory()
+
+    schema = T.StructType([T.StructField("row", own.schema["row"].dataType), *T.StructType.fromDDL(f"new_text string, spans array<struct<start:int,end:int>>, repeat_of array<{id_type}>")])
+    cut = met.select("row", "doc_id", "text", "repeats").mapInArrow(run, schema)
+    found = F.when(F.col("spans").isNotNull(), F.struct("spans", "repeat_of")).cast(found_type)
+    cut = cut.select(*row_columns(docs, **{text_col: F.col("new_text")}), *([found.alias(found_col)] if found_col else []))
+    return apart.select(*row_columns(docs), *([F.lit(None).cast(found_type).alias(found_col)] if found_col else [])).unionByName(cut)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
