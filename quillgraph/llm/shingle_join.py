@@ -8,11 +8,12 @@ compared by brute force; larger ones split again, to DEPTH levels; what is large
 follows from TARGET_RECALL.
 
 Leaves give chains of likely neighbours (one row for each set, never all pairs); their connected components are the groups
-in which the sets themselves are compared exactly, again in square blocks of at most BLOCK_SETS sets. There each
+in which the sets themselves are compared exactly, again in square blocks of some BLOCK_SETS sets and BLOCK_SHINGLES shingles. There each
 document's links are counted, copies with their number, and no pair is written.
 
 Defined results: a null text or one without a word has no shingle, no link and is a class of its own; a text of one to four
-words is one shingle; repeated rows are copies of each other; an empty table gives no rows; other columns are not read.
+words is one shingle; a very long text is one set, whole, and makes its group's blocks smaller; repeated rows are copies of each other; ids may have any type that can be
+ordered, may repeat and may be null (each row is judged by its own text); an empty table gives no rows; other columns, of whatever name, are not read.
 """
 
 from __future__ import annotations
@@ -26,13 +27,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_batches, materialize, read_table, scratch_scope, slices, text_of, thin
+from .common import byte_batches, materialize, read_table, release_memory, row_columns, scratch_scope, slices, text_of, thin, whole_row
 
 WORDS = 5
 THRESHOLD = 0.8
 WIDTH = 48
 LEAF_SETS = 1024
 BLOCK_SETS = 256
+BLOCK_SHINGLES = 400_000
 DEPTH = 4
 TARGET_RECALL = 0.999
 #: Least share of equal coordinates for a pair to be compared exactly: four deviations below the threshold.
@@ -150,7 +152,7 @@ def sketch(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text_hash, set_a and set_b (a name of 128 bits for the set), size and sketch of each document."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col).cast("binary").alias("text"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col).cast("binary").alias("text"))
 
     def run(batches):
         for whole in batches:
@@ -171,8 +173,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     [batch.column("doc_id"), batch.column("text_hash"), *(pa.array(x.view(np.int64)) for x in names), pa.array(counts), pa.array([x.tobytes() for x in drawn], pa.binary())],
                     ["doc_id", "text_hash", "set_a", "set_b", "size", "sketch"],
                 )
+        release_memory()
 
-    return source.mapInArrow(run, "doc_id bigint, text_hash bigint, set_a bigint, set_b bigint, size bigint, sketch binary")
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_hash bigint, set_a bigint, set_b bigint, size bigint, sketch binary")
 
 
 def _children(path: np.ndarray, drawn: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -369,13 +372,15 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> t
     same = [F.col(k) == F.col(f"_{k}") for k in key] + [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("text_hash") == F.col("_hash")]
     sets = full.join(named, same).dropDuplicates(["rep"]).select("rep", "sketch")
     groups = candidate_groups(materialize(sets, "shingle-sets"))
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    wanted = groups.join(sizes, "root").join(reps.select(F.col("rep").alias("node"), "copies", "size", "first.doc_id", "first.text_hash"), "node")
-    wanted = materialize(wanted.select(F.col("node").alias("rep"), "root", "n", "copies", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "shingle-wanted")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col).cast("binary").alias("text"))
+    members = groups.join(reps.select(F.col("rep").alias("node"), "copies", "size", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")), "node")
+    per_block = BLOCK_SETS // 2
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / per_block), F.ceil(F.sum("size") * 2 / BLOCK_SHINGLES))
+    sizes = members.groupBy("root").agg((blocks * per_block).cast("long").alias("n"))
+    wanted = materialize(members.join(sizes, "root").select(F.col("node").alias("rep"), "root", "n", "copies", "_id", "_hash"), "shingle-wanted")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col).cast("binary").alias("text"))
     texts = thin(texts, wanted.select(F.col("_id").alias("doc_id"), F.col("_hash").alias("text_hash")), ["doc_id", "text_hash"])
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).dropDuplicates(["rep"]).drop("doc_id", "text_hash", "_id", "_hash")
-    found = materialize(_compare(_blocks(texts, "n", "rep", BLOCK_SETS // 2), threshold), "shingle-links")
+    found = materialize(_compare(_blocks(texts, "n", "rep", per_block), threshold), "shingle-links")
     linked = components(found.filter("rep <> near").select(F.col("rep").alias("a"), F.col("near").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links")).join(linked, F.col("rep") == F.col("node"), "left").select("rep", "links", F.coalesce("root", "rep").alias("class"))
     # classes by set: all copies of a representative have its class
@@ -400,14 +405,15 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
         marks = rows.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
         marks = materialize(marks.filter("not first or n > 1"), "shingle-marks", stays=True)
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(text_col)) == F.col("_hash"))
+    own = docs.select(whole_row(docs), docs[id_col].alias("id"), text_of(docs[text_col]).alias("text"))
+    on = F.col("id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
     gone, twice = marks.filter("not first"), marks.filter("first")
-    kept = docs.join(gone, on, "left_anti")
-    if twice.isEmpty():
-        return kept
-    # rows that repeat the id and text of a class's first row: one of them stays
-    again = kept.join(twice, on, "left_semi").withColumn("_text", text_of(text_col)).dropDuplicates([id_col, "_text"]).drop("_text")
-    return kept.join(twice, on, "left_anti").unionByName(again)
+    kept = own.join(gone, on, "left_anti")
+    if not twice.isEmpty():
+        # rows that repeat the id and text of a class's first row: one of them stays
+        again = kept.join(twice, on, "left_semi").dropDuplicates(["id", "text"])
+        kept = kept.join(twice, on, "left_anti").unionByName(again)
+    return kept.select(*row_columns(docs))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
