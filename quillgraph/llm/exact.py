@@ -6,11 +6,13 @@ sixteenfold, so a text of n bytes takes about log16(n / 64) rounds. A group leav
 bytes have ended. Groups are found by comparing the bytes themselves; the SHA-256 column only reports, and tells
 rows of one doc_id apart.
 
-Every round counts before it shuffles (a hot group is one row of each task), and joins back on the digit, where
-Spark splits a hot key's rows. Texts of rows that are already alone are not shuffled.
+A digit is a run of bytes in place of a single one, so that a long text takes few rounds; runs split a group as the bytes in them would one after the other.
 
-Defined results: null is the empty text; rows that repeat a doc_id with the same text share one verdict; an
-empty table gives no rows; other columns of the input are not read.
+Every round counts before it shuffles (a hot group is one row of each task), and joins back on the digit, where salt deals a hot group's
+rows to several tasks. Texts of rows that are already alone are not shuffled.
+
+Defined results: null is the empty text; rows that repeat a doc_id with the same text share one verdict; very long texts are compared whole, in more
+rounds; ids may have any type that can be ordered, and a null id is the smallest; an empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, materialize, read_table, text_of, thin
+from .common import WS, materialize, read_table, salted_join, text_of, thin
 
 FIRST_BYTES = 64
 GROWTH = 16
@@ -36,11 +38,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = F.min(F.struct("doc_id", "text_sha256")).alias("group")
     heads = materialize(light.groupBy("n", "digit").agg(F.count(F.lit(1)).alias("group_size"), named).filter("group_size > 1"), "exact-groups")
     short = heads.filter(F.col("n") <= first_bytes)
-    ended = [light.join(short, ["n", "digit"]).select("doc_id", "text_sha256", "group", "group_size")]
+    ended = [salted_join(light, short, ["n", "digit"]).select("doc_id", "text_sha256", "group", "group_size")]
 
     longer = heads.filter(F.col("n") > first_bytes).select("n", "digit", "group")
     texts = base.select("doc_id", "data", F.octet_length("data").alias("n"), digit("data", 1, first_bytes).alias("digit"))
-    open_rows = thin(texts, longer, ["n", "digit"]).join(longer, ["n", "digit"])
+    open_rows = salted_join(thin(texts, longer, ["n", "digit"]), longer, ["n", "digit"])
     open_rows = materialize(open_rows.select("doc_id", F.sha2("data", 256).alias("text_sha256"), "group", "n", digit("data", first_bytes + 1).alias("rest")), "exact-open")
     done = first_bytes
     while not open_rows.isEmpty():
@@ -49,7 +51,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = cut.groupBy("group", "n", "digit").agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct("doc_id", "text_sha256")).alias("next")).filter("group_size > 1")
         done += width
         split = materialize(
-            cut.join(found, ["group", "n", "digit"]).select("doc_id", "text_sha256", F.col("next").alias("group"), "group_size", "n", digit("rest", width + 1).alias("rest")), "exact-round"
+            salted_join(cut, found, ["group", "n", "digit"]).select("doc_id", "text_sha256", F.col("next").alias("group"), "group_size", "n", digit("rest", width + 1).alias("rest")), "exact-round"
         )
         ended.append(split.filter(F.col("n") <= done).select("doc_id", "text_sha256", "group", "group_size"))
         open_rows = split.filter(F.col("n") > done).drop("group_size")
