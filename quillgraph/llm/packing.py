@@ -3,13 +3,15 @@
 Documents are routed to tiers of context sizes (powers of two up to the window): whole windows are cut from
 long documents, the rest goes to the shortest tier that holds it. Tiers are packed from the longest down; the
 gap of a long window is filled with the largest pieces of shorter tiers that fit, the last one cut to close it.
-Windows of a tier are dealt to step groups of equal token counts.
+Windows of a tier are dealt to step groups of equal token counts over all tasks; only the last group of a tier may have fewer.
 
-Each task packs its own rows in bounded buffers, so there is no shuffle and no key to be skewed. The end of a task
-is cut into windows of falling powers of two: no padding at all, at the price of at most log2(window) short windows a task.
+Each task packs its own rows in bounded buffers, so no text or token is shuffled and no key can be skewed. The end of a task
+is cut into windows of falling powers of two: no padding at all, at the price of at most log2(window) short windows a task. Tasks number their
+windows; the counts of a task and tier, one row each, give the numbers over all tasks.
 
-Defined results: a null or empty text is one piece with the end id; repeated rows are documents of their own;
-an empty table gives no rows; other columns are not read. sequence_id = partition << 33 | number in it.
+Defined results: a null or empty text is one piece with the end id; repeated rows are documents of their own; a very long text is cut into
+windows, whole, by one task; of remainders of equal length the first read goes first; an empty table gives no rows; other columns are not read.
+sequence_id = partition << 33 | number in it.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_batches, read_table, slices, text_of
+from .common import byte_batches, materialize, read_table, release_memory, slices, text_of
 from .word_ids import word_ids
 
 WINDOW = 4096
@@ -32,10 +34,10 @@ SMALLEST_TIER = 512
 #: Windows of 4096 tokens in a step group; shorter tiers have as many tokens in more windows.
 STEP_WINDOWS = 8
 #: Tokens that a task gathers before it packs; bytes of text that are tokenized at a time.
-BUFFER_TOKENS = 1 << 22
-AT_A_TIME = 1 << 19
+BUFFER_TOKENS = 1 << 20
+AT_A_TIME = 1 << 18
 
-COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "context", "step_group")
+COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "context", "nth")
 
 
 class Packer:
@@ -53,9 +55,8 @@ class Packer:
         self.n += 1
         nth = self.in_tier.get(context, 0)
         self.in_tier[context] = nth + 1
-        group = nth // (STEP_WINDOWS * max(1, self.window // context))
         for doc, ids, a, b, total in parts:
-            self.out.append((doc, a, b - a, zlib.crc32(ids[a:b].astype("<u4").tobytes()), total, name, at, context, group))
+            self.out.append((doc, a, b - a, zlib.crc32(ids[a:b].astype("<u4").tobytes()), total, name, at, context, nth))
             at += b - a
 
     def pack(self, docs: list[tuple], last: bool) -> list[tuple]:
@@ -119,11 +120,11 @@ class Packer:
 
 
 def pack_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, smallest: int = SMALLEST_TIER, buffer_tokens: int = BUFFER_TOKENS) -> DataFrame:
-    """A row for each piece, with COLUMNS: context is the tier of its sequence, step_group numbers groups of equal tokens within a task and tier."""
+    """A row for each piece, with COLUMNS: context is the length of its sequence, nth the number of that sequence among its task's of this length."""
     byte_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, context bigint, step_group bigint"
+    schema = f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, context bigint, nth bigint"
 
     def run(batches):
         encode = word_ids(tokenizer_path).encode
@@ -150,11 +151,25 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: s
             packer.pack(held, True)
         if packer.out:
             yield rows()
+        release_memory()
 
     return source.mapInArrow(run, schema)
 
 
+def step_groups(pieces: DataFrame, window: int = WINDOW, step_windows: int = STEP_WINDOWS) -> DataFrame:
+    """pieces of pack_tokens() with step_group in place of nth: sequences of a context, numbered over all tasks, are dealt to groups of step_windows * window tokens.
+
+    The window function and the broadcast see a row for each task and context only.
+    """
+    pieces = materialize(pieces.withColumn("task", F.shiftright("sequence_id", 33)), "packed-pieces")
+    counts = pieces.groupBy("context", "task").agg((F.max("nth") + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("context").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = counts.select("context", "task", before.alias("before"))
+    per_group = F.floor(F.lit(step_windows * window) / F.col("context"))
+    return pieces.join(F.broadcast(firsts), ["context", "task"]).withColumn("step_group", F.floor((F.col("before") + F.col("nth")) / per_group).cast("long")).drop("task", "before", "nth")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     import public_tokenizers
 
-    return pack_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
+    return step_groups(pack_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path or public_tokenizers.path("word_bpe_49k.json")))

@@ -10,7 +10,7 @@ from itertools import repeat
 
 import numpy as np
 
-MAX_WORDS = 400_000
+MAX_WORDS = 200_000
 #: A character that makes a word, and a token, of its own; texts that hold it go to the library whole. Words of a run.
 MARK = "\x01"
 RUN = 256
@@ -29,7 +29,7 @@ class WordIds:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint32)
+        self.flat = np.zeros(1 << 18, np.uint32)
         self.start = np.zeros(MAX_WORDS // 4, np.int64)
         self.length = np.zeros(MAX_WORDS // 4, np.int32)
         self.uses = np.zeros(MAX_WORDS // 4, np.int64)
@@ -75,8 +75,8 @@ class WordIds:
         return ids[~mark], np.diff(np.flatnonzero(mark), prepend=-1) - 1
 
     def add(self, words: list[str]) -> None:
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
+        for k in range(0, len(words), 5_000):
+            part = words[k : k + 5_000]
             self.put(part, *self.ids_of(part))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
