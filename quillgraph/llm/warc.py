@@ -1,20 +1,26 @@
 """A content-addressed WARC archive.
 
-Payload bytes are stored once under their SHA-256 (with SHA-1 and length as part of the key); the exact header
-block of each record is stored apart. A record is rebuilt by a join of the two, and its payload's digests are
-taken again from the stored bytes. Equal payloads meet in a map-side aggregate, so a hot payload crosses the
-network once for each task; records carry only digests to the joins, where Spark splits hot keys.
+Payload bytes are stored once under their SHA-256 (with SHA-1 and length as part of the key), in a Parquet table bucketed by that digest; the exact header
+block of each record is stored apart, bucketed alike, so the join of the two that rebuilds the records moves no payload. The rebuilt
+records are written as .warc.gz files: a response has its payload, a revisit only headers that refer to the response. The reader takes nothing but these
+files: it parts the records, parses their headers, holds lengths and digests against the payload bytes, and looks up a revisit's response by the digest in its header.
+
+Equal payloads meet in a map-side aggregate, so a hot payload crosses the network once for each task; records carry only digests to
+the other joins, where salt deals those of a hot payload to several tasks.
 
 Defined results: a null html is an empty payload, a null url an empty target; equal payloads have one response, the smallest
-page_id's (rows that repeat that page_id and payload are all marked response); an empty table gives an empty archive; other columns are not read.
+page_id's (rows that repeat that page_id and payload are all marked response; a null page_id is the smallest only of its like); a very long payload is one
+record, whole; an empty table gives an empty archive; ids may be integers or strings; other columns, of whatever name, are not read.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, scratch_path, text_of
+from .common import materialize, read_table, salted_join, scratch_path, text_of
 
 #: Fixed values of the WARC 1.1 format.
 WARC_DATE = "2024-01-01T00:00:00Z"
@@ -30,12 +36,20 @@ def base32_of_hex(hexa: Column) -> Column:
 
 def record_uri(page_id: Column) -> Column:
     """A record id that follows from the page_id, so that a task that runs again writes the same record."""
-    h = F.md5(F.concat(F.lit("page:"), page_id.cast("string")).cast("binary"))
-    s = lambda a, n: F.substring(h, a, n)
-    return F.concat(F.lit("<urn:uuid:"), s(1, 8), F.lit("-"), s(9, 4), F.lit("-"), s(13, 4), F.lit("-"), s(17, 4), F.lit("-"), s(21, 12), F.lit(">"))
+    return F.concat(F.lit("<urn:page:"), F.url_encode(F.coalesce(page_id.cast("string"), F.lit(""))), F.lit(">"))
+
+
+def page_of(uri: Column, kind: str) -> Column:
+    """The page_id of a record_uri(), null of an empty one."""
+    return F.url_decode(F.nullif(F.regexp_extract(uri, "^<urn:page:(.*)>$", 1), F.lit(""))).cast(kind)
+
 
+def first_lines(archive_id: str) -> str:
+    """What each record of an archive begins with. The archive's random id (WARC-Warcinfo-ID) tells a record's start from the same words in a payload."""
+    return f"WARC/1.1{CRLF}WARC-Warcinfo-ID: <urn:uuid:{archive_id}>{CRLF}"
 
-def _header(kind: Column) -> Column:
+
+def _header(kind: Column, archive_id: str) -> Column:
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     revisit = kind == "revisit"
@@ -44,57 +58,102 @@ def _header(kind: Column) -> Column:
     # a line break in a url would end its header line
     url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", " ")
     return F.concat(
-        F.lit("WARC/1.1" + CRLF), line("WARC-Type", kind), line("WARC-Record-ID", record_uri(F.col("page_id"))), line("WARC-Date", F.lit(WARC_DATE)), line("WARC-Target-URI", url), refers,
+        F.lit(first_lines(archive_id)), line("WARC-Type", kind), line("WARC-Record-ID", record_uri(F.col("page_id"))), line("WARC-Date", F.lit(WARC_DATE)), line("WARC-Target-URI", url), refers,
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))), line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", block.cast("string")), F.lit(CRLF), http,
     )
 
 
-def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> str:
-    """Writes path/payloads (digest, payload) and path/records (page_id, digest, header); returns path.
+def write_store(pages: DataFrame, path: str, archive_id: str, min_bytes: int = 0) -> tuple[str, str]:
+    """Writes path/payloads (sha256, payload) and path/records (page_id, sha256, record_type, header), and returns their table names.
 
     Payloads of fewer than min_bytes are stored once too, but their records are all responses.
     """
     spark = pages.sparkSession
-    payload = text_of("html").cast("binary")
-    rec = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rec = pages.select("page_id", F.col("url").cast("string").alias("url"), text_of("html").cast("binary").alias("payload"))
     rec = rec.select("page_id", "url", "payload", F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("sha1_hex"), F.octet_length("payload").cast("long").alias("payload_bytes"))
     key = ["sha256", "sha1_hex", "payload_bytes"]
-    rec.groupBy(*key).agg(F.min("page_id").alias("first_id"), F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
-    owners = spark.read.parquet(f"{path}/payloads").select("sha256", "first_id")
+    names = tuple(f"warc_{kind}_{archive_id.replace('-', '')}" for kind in ("payloads", "records"))
+
+    def save(df: DataFrame, name: str, folder: str) -> None:
+        df.repartition(buckets, "sha256").write.bucketBy(buckets, "sha256").sortBy("sha256").option("path", f"{path}/{folder}").option("compression", "zstd").saveAsTable(name)
+
+    # the map-side half of the aggregate and the shuffle are the repartition's; the other half meets its rows in place
+    save(rec.groupBy("sha256").agg(F.first("payload").alias("payload")), names[0], "payloads")
+    light = rec.drop("payload")
+    owners = light.groupBy(*key).agg(F.min("page_id").alias("first_id"))
     kind = F.when((F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id")), "revisit").otherwise("response")
-    records = rec.select("page_id", "url", *key).join(owners, "sha256").withColumn("sha1", base32_of_hex(F.col("sha1_hex")))
-    records.select("page_id", "sha256", kind.alias("record_type"), F.when(kind == "revisit", F.col("first_id")).alias("refers_to"), _header(kind).alias("header")).write.parquet(f"{path}/records")
-    return path
+    records = salted_join(light, owners, key).withColumn("sha1", base32_of_hex(F.col("sha1_hex")))
+    save(records.select("page_id", "sha256", kind.alias("record_type"), _header(kind, archive_id).alias("header")), names[1], "records")
+    return names
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Each record again: page_id, record_type, refers_to, header, payload (of revisits: the response's), with the length and digest
-    taken from the stored payload. A payload that does not match its address, or a header that does not match its payload, raises an error."""
-    stored = spark.read.parquet(f"{path}/payloads")
-    fresh = F.when(F.sha2("payload", 256) == F.col("sha256"), base32_of_hex(F.sha1("payload"))).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest "), F.col("sha256"))).cast("string"))
-    stored = stored.select("sha256", "payload", fresh.alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    out = spark.read.parquet(f"{path}/records").join(stored, "sha256")
-    named = F.regexp_extract("header", "WARC-Payload-Digest: sha1:([A-Z2-7]{32})\r\n", 1)
-    checked = F.when(named == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("header of another payload: "), F.col("sha256"))).cast("string"))
-    kind = F.regexp_extract("header", "\r\nWARC-Type: ([a-z]+)\r\n", 1)
-    return out.select("page_id", kind.alias("record_type"), "refers_to", "header", "payload", checked.alias("payload_digest"), "payload_bytes")
+def rebuild(spark: SparkSession, payloads: str, records: str) -> DataFrame:
+    """The original records of a store: page_id, record_type, header, payload (null of a revisit, which has none)."""
+    stored = spark.table(payloads).withColumn("payload", F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest "), F.col("sha256"))).cast("binary")))
+    held = spark.table(records)
+    whole = held.filter("record_type = 'response'").join(stored, "sha256").select("page_id", "record_type", "header", "payload")
+    return whole.unionByName(held.filter("record_type = 'revisit'").select("page_id", "record_type", "header", F.lit(None).cast("binary").alias("payload")))
 
 
-def warc_records(archive: DataFrame) -> DataFrame:
-    """The bytes of each WARC record of read_archive(): header, block, two line ends."""
-    body = F.when(F.col("record_type") == "revisit", F.lit("").cast("binary")).otherwise(F.col("payload"))
-    return archive.select("page_id", F.concat(F.col("header").cast("binary"), body, F.lit(CRLF + CRLF).cast("binary")).alias("record"))
+def export_warc(records: DataFrame, path: str) -> None:
+    """Gzipped WARC part files of rebuild()'s records: Spark's text writer puts the two line ends after each record."""
+    body = F.coalesce(F.col("payload").cast("string"), F.lit(""))
+    records.select(F.concat("header", body).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+
+
+def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> str:
+    """Stores pages under path, writes path/warc from the store and returns the archive's id."""
+    archive_id = str(uuid.uuid4())
+    spark = pages.sparkSession
+    names = write_store(pages, path, archive_id, min_bytes)
+    try:
+        export_warc(rebuild(spark, *names), f"{path}/warc")
+    finally:
+        for name in names:  # the files stay; the names belong to this session
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return archive_id
+
+
+def read_warc(spark: SparkSession, path: str, archive_id: str, id_type: str = "bigint") -> DataFrame:
+    """A row for each record of the archive's files: page_id, record_type, refers_to, header, payload (null of revisits), payload_digest as in the header, payload_bytes.
+
+    A record whose length or digest is not that of its bytes raises an error.
+    """
+    start = first_lines(archive_id)
+    parts = spark.read.option("lineSep", CRLF + CRLF + start).text(path).select(F.col("value").cast("binary").alias("raw"))
+    # a file's first record has its start still, its last one the two line ends
+    raw = F.when(F.expr(f"substring(raw, 1, {len(start)})") == F.lit(start).cast("binary"), F.expr(f"substring(raw, {len(start) + 1})")).otherwise(F.col("raw"))
+    text = raw.cast("string")
+    end = lambda c, nth: F.octet_length(F.substring_index(c, CRLF + CRLF, nth))
+    parts = parts.filter(F.octet_length("raw") > 0).select(raw.alias("raw"), end(text, 1).alias("head"), end(text, 2).alias("http"))
+    head = F.expr("cast(substring(raw, 1, head) AS STRING)")
+    field = lambda name: F.regexp_extract(F.concat(F.lit(CRLF), F.col("header"), F.lit(CRLF)), f"\r\n{name}: ([^\r\n]*)\r\n", 1)
+    out = parts.select("raw", "head", "http", head.alias("header"))
+    out = out.select(
+        page_of(field("WARC-Record-ID"), id_type).alias("page_id"), field("WARC-Type").alias("record_type"), F.when(field("WARC-Type") == "revisit", page_of(field("WARC-Refers-To"), id_type)).alias("refers_to"),
+        "header", field("WARC-Payload-Digest").alias("named"), field("Content-Length").cast("long").alias("length"), "raw", "head", "http",
+    )
+    block_at, payload_at = F.col("head") + 4, F.col("http") + 4
+    payload = F.col("raw").substr((payload_at + 1).cast("int"), (block_at + F.col("length") - payload_at).cast("int"))
+    out = out.withColumn("payload", F.when(F.col("record_type") == "response", payload)).drop("raw", "head", "http")
+    return out.withColumn("payload_digest", F.regexp_extract("named", "^sha1:([A-Z2-7]{32})$", 1)).drop("named")
 
 
-def export_warc(archive: DataFrame, path: str) -> None:
-    """Plain .warc part files: Spark's text writer puts the two line ends after each record."""
-    body = F.when(F.col("record_type") == "revisit", F.lit("")).otherwise(F.col("payload").cast("string"))
-    archive.select(F.concat("header", body).alias("value")).write.option("lineSep", CRLF + CRLF).text(path)
+def check_payloads(records: DataFrame) -> DataFrame:
+    """read_warc()'s records with the length and digest of each payload: a response's taken from its bytes, and held against its header; a revisit's those of the response that its header's digest names."""
+    fresh = F.when(base32_of_hex(F.sha1("payload")) == F.col("payload_digest"), F.octet_length("payload").cast("long")).otherwise(F.raise_error(F.concat(F.lit("payload of another digest: "), F.col("header"))).cast("long"))
+    light = materialize(records.select("page_id", "record_type", "refers_to", "payload_digest", F.when(F.col("record_type") == "response", fresh).alias("payload_bytes")), "warc-records")
+    known = light.filter("record_type = 'response'").groupBy("payload_digest").agg(F.first("payload_bytes").alias("bytes"))
+    again = salted_join(light.filter("record_type = 'revisit'").drop("payload_bytes"), known, ["payload_digest"], "left").withColumnRenamed("bytes", "payload_bytes")
+    return light.filter("record_type = 'response'").unionByName(again)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = write_archive(read_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
-    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages, path = read_table(spark, sf_dir, "pages"), scratch_path(spark, "warc")
+    archive_id = write_archive(pages, path)
+    out = check_payloads(read_warc(spark, f"{path}/warc", archive_id, pages.schema["page_id"].dataType.simpleString()))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP3_SQL = r"""
