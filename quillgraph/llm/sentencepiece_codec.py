@@ -12,7 +12,7 @@ is solved text by text.
 The scores are those of the model file, whichever algorithm trained it: on a file of BPE kind this is the unigram path over its
 scores (tests hold it against plain dynamic programming), not the path of its merges.
 
-Defined results: a null or empty text has no piece; repeated rows are encoded one by one; an empty table gives no rows; there is no shuffle; other columns are not read.
+Defined results: a null or empty text has no piece; repeated rows are encoded one by one; a very long text is encoded whole, by itself; an empty table gives no rows; there is no shuffle; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,15 +22,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, text_of
+from .common import byte_batches, read_table, slices, text_of
 
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 MAX_UNITS = 300_000
-ROWS_AT_A_TIME = 256
+#: Bytes of text that are encoded at a time.
+AT_A_TIME = 1 << 19
 
 
 class DoubleArray:
@@ -268,14 +270,15 @@ def piece_summary(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
 
 def _encoded(docs: DataFrame, model_path: str, id_col: str, text_col: str, schema: str, columns) -> DataFrame:
+    byte_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     names = ["doc_id", *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches):
         c = codec(model_path)
         for whole in batches:
-            for k in range(0, whole.num_rows, ROWS_AT_A_TIME):
-                batch = whole.slice(k, ROWS_AT_A_TIME)
+            for a, b in slices(pa.compute.binary_length(whole.column("text")).to_pylist(), AT_A_TIME):
+                batch = whole.slice(a, b - a)
                 texts = batch.column("text").to_pylist()
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns(c, texts, c.encode(texts))], names)
 

@@ -11,7 +11,7 @@ Classes of characters outside ASCII are asked of the library's own pre-tokenizer
 the library's. Memory is bounded: blocks of BLOCK characters, a transition table of MAX_TRANSITIONS.
 
 Defined results: a null or empty text has 0 tokens; the string of an added token counts as that token, as the
-library does by default; repeated rows are counted one by one; there is no shuffle, and other columns are not read.
+library does by default; repeated rows are counted one by one; a very long text is read whole, block by block; an empty table gives no rows; there is no shuffle, and other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, text_of
+from .common import byte_batches, read_table, slices, text_of
 
 BLOCK = 1 << 20
 CHUNK = 128
@@ -212,15 +213,17 @@ def counter(path: str) -> Counter:
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each of docs: its id, n_bytes and n_tokens under the byte-level BPE file."""
+    byte_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         count = counter(tokenizer_path).count
-        for batch in batches:
-            text = batch.column("text")
-            n = count(text.to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.compute.binary_length(text.cast(pa.binary())).cast(pa.int64()), pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
+        for whole in batches:
+            for a, b in slices(pa.compute.binary_length(whole.column("text")).to_pylist(), BLOCK):
+                batch = whole.slice(a, b - a)
+                text = batch.column("text")
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.compute.binary_length(text).cast(pa.int64()), pa.array(count(text.to_pylist()))], ["doc_id", "n_bytes", "n_tokens"])
 
     return source.mapInArrow(run, f"doc_id {id_type}, n_bytes bigint, n_tokens bigint")
 
