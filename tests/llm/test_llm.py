@@ -1,6 +1,8 @@
 """The numbered operators against libraries, SQL and brute force, and on awkward rows."""
 
+import base64
 import glob
+import gzip
 import hashlib
 import os
 import random
@@ -14,12 +16,19 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import chunk_dedup, exact, license_scan, line_templates, packing, quality, registry, sentencepiece_codec, shingle_join, token_count, warc
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `group` string, digest string, rep string, own string, n string"
+#: Columns that the operators use themselves.
+CLASHING = "group digest rep own n row repeats found spans repeat_of new_text text_hash lines masked leaf t1 c1 place_id n_words rejected_by quality_features first id _id _hash _text _salt word bits context task nth header payload sha256".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
 
 
 def docs_of(spark, texts):
-    """Rows with columns whose names the operators use themselves."""
-    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "g", "d", "r", "o", "n") for i, t in texts], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), *CLASHING) for i, t in texts], SCHEMA)
+
+
+def kept_columns(df):
+    """The columns that the operators do not own came through as they were."""
+    assert df.columns[: 5 + len(CLASHING)] == ["doc_id", "text", "lang", "source", "n_chars", *CLASHING]
+    return all(r[c] == c for r in df.collect() for c in CLASHING)
 
 
 def words(seed, n, vocabulary=4000):
@@ -151,23 +160,49 @@ def test_sentencepiece_equals_brute_force_and_round_trips(spark, corpus):
     assert sorted(map(tuple, back.collect())) == sorted((i, t or "") for i, t in corpus + AWKWARD)
 
 
+#: A payload that looks like records.
+TRICKY = "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n"
+
+
 def test_warc_round_trip(spark, tmp_path):
-    rows = [(5, "http://a", "<p>x</p>"), (3, "http://b", "<p>x</p>"), (3, "http://b", "<p>x</p>"), (9, None, None), (10, "http://c\r\nX: y", ""), (11, "http://d", "é\r\n\r\n" * 3)]
+    rows = [(5, "http://a", "<p>x</p>"), (3, "http://b", "<p>x</p>"), (3, "http://b", "<p>x</p>"), (9, None, None), (10, "http://c\r\nX: y", ""), (11, "http://d", "é\r\n\r\n" * 3), (12, "http://e", TRICKY), (13, "http://f", LONG * 5)]
     pages = spark.createDataFrame([(*r, "s", "h") for r in rows], "page_id long, url string, html string, sha256 string, header string")
-    a = warc.read_archive(spark, warc.write_archive(pages, f"file://{tmp_path}/a")).cache()
-    got = sorted((r["page_id"], r["record_type"], r["refers_to"], bytes(r["payload"])) for r in a.collect())
-    assert got == [(3, "response", None, b"<p>x</p>"), (3, "response", None, b"<p>x</p>"), (5, "revisit", 3, b"<p>x</p>"), (9, "response", None, b""), (10, "revisit", 9, b""), (11, "response", None, "é\r\n\r\n".encode() * 3)]
-    import base64
-
-    for r in a.collect():
-        assert r["payload_digest"] == base64.b32encode(hashlib.sha1(bytes(r["payload"])).digest()).decode()
-    for r in warc.warc_records(a).collect():
-        head, _, block = bytes(r["record"]).partition(b"\r\n\r\n")
-        fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-        assert int(fields["Content-Length"]) == len(block) - 4 and block.endswith(b"\r\n\r\n")
-    warc.export_warc(a, f"file://{tmp_path}/w")
-    assert sum(open(p, "rb").read().count(b"WARC/1.1\r\n") for p in glob.glob(f"{tmp_path}/w/part-*")) == len(rows)
-    assert warc.read_archive(spark, warc.write_archive(pages.limit(0), f"file://{tmp_path}/e")).count() == 0
+    name = warc.write_archive(pages, f"file://{tmp_path}/a")
+    a = warc.read_warc(spark, f"file://{tmp_path}/a/warc", name).cache()
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload"] and bytes(r["payload"])) for r in a.collect()), key=str)
+    assert got == sorted([(3, "response", None, b"<p>x</p>")] * 2 + [(5, "revisit", 3, None), (9, "response", None, b""), (10, "revisit", 9, None), (11, "response", None, "é\r\n\r\n".encode() * 3), (12, "response", None, TRICKY.encode()), (13, "response", None, LONG.encode() * 5)], key=str)
+    payload_of = {i: (h or "").encode() for i, _, h in rows}
+    for r in warc.check_payloads(a).collect():
+        data = payload_of[r["page_id"]]
+        assert r["payload_digest"] == base64.b32encode(hashlib.sha1(data).digest()).decode() and r["payload_bytes"] == len(data)
+    # the files by the format's own rules: version, headers, a block of Content-Length bytes, two line ends
+    records = 0
+    for p in glob.glob(f"{tmp_path}/a/warc/part-*"):
+        raw = gzip.open(p).read()
+        while raw:
+            head, _, raw = raw.partition(b"\r\n\r\n")
+            version, *lines = head.decode().split("\r\n")
+            fields = dict(x.split(": ", 1) for x in lines)
+            n = int(fields["Content-Length"])
+            assert version == "WARC/1.1" and raw[n : n + 4] == b"\r\n\r\n"
+            raw = raw[n + 4 :]
+            records += 1
+    assert records == len(rows)
+    few = warc.write_archive(pages, f"file://{tmp_path}/m", min_bytes=9)
+    assert {r["record_type"] for r in warc.read_warc(spark, f"file://{tmp_path}/m/warc", few).collect()} == {"response"}
+    texts = warc.write_archive(pages.withColumn("page_id", F.concat(F.lit("p/ é>"), "page_id")), f"file://{tmp_path}/t")
+    got = {(r["page_id"], r["refers_to"]) for r in warc.read_warc(spark, f"file://{tmp_path}/t/warc", texts, "string").collect()}
+    assert ("p/ é>5", "p/ é>3") in got and len(got) == len(rows) - 1
+    none = warc.write_archive(pages.limit(0), f"file://{tmp_path}/e")
+    assert warc.check_payloads(warc.read_warc(spark, f"file://{tmp_path}/e/warc", none)).count() == 0
+
+
+def test_warc_finds_damage(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string")
+    name = warc.write_archive(pages, f"file://{tmp_path}/a")
+    bad = warc.read_warc(spark, f"file://{tmp_path}/a/warc", name).withColumn("payload", F.lit("abd").cast("binary"))
+    with pytest.raises(Exception, match="another digest"):
+        warc.check_payloads(bad).collect()
 
 
 def test_license_alignment():
@@ -194,10 +229,37 @@ def test_licenses_behind_prose_are_found_whole():
             assert hit[1:] == (1.0, n, 100, 99 + n)
 
 
+def test_every_notice_of_a_text_is_found():
+    s = license_scan.Scanner(license_scan.TEMPLATES, 0.8)
+    mit = license_scan.TEMPLATES["MIT"]
+    n = len(license_scan.words(mit))
+    text = " ".join([mit, *words(5, 40), mit.replace("merge,", "fuse,"), *words(6, 30), mit])
+    assert [(h[2], h[3]) for h in s.scan(text) if h[0] == "MIT"] == [(n, 0), (n - 1, n + 40), (n, 2 * n + 70)]
+    # two words in five put in: a span of 1.4 times the template
+    stretched = " ".join(w + (" zz yy" if k % 5 == 4 else "") for k, w in enumerate(license_scan.words(mit)))
+    assert [h[2] for h in s.scan(stretched) if h[0] == "MIT"] == [n]
+    assert not [h for h in license_scan.Scanner(license_scan.TEMPLATES, 0.8, 0.1).scan(stretched) if h[0] == "MIT"]
+
+
+def test_scan_equals_all_windows():
+    """The best window of all, each aligned without any bound."""
+    r = random.Random(12)
+    template = [f"w{k % 9}" for k in range(14)]
+    s = license_scan.Scanner({"t": " ".join(template)}, 0.6, 0.5)
+    width, found = len(template) + len(template) // 2, 0
+    for _ in range(300):
+        text = [r.choice([*template, "x", "y"]) for _ in range(12)] + [w for w in template if r.random() < 0.8] + [r.choice([*template, "x"]) for _ in range(12)]
+        best = max(((len(m), -p) for p in range(len(text)) if text[p] in template and (m := license_scan.align(text[p : p + width], template))), default=(0, 0))
+        got = s.best("t", text, s.member["t"][[s.vocabulary.get(w, 0) for w in text]], 0, len(text))
+        assert (got[1] if got else 0) == (best[0] if best[0] >= 0.6 * len(template) else 0)
+        found += got is not None
+    assert found > 100
+
+
 def test_licenses_on_awkward_rows(spark):
     rows = AWKWARD + [(20, "z " * 10 + "Licensed under the Apache License, Version 2.0.\nlicensed under the apache LICENSE version 2.0")]
     got = license_scan.license_spans(docs_of(spark, rows)).collect()
-    assert [(r["doc_id"], r["license_id"], r["coverage"], r["first_word"]) for r in got] == [(20, "Apache-2.0-line", 1.0, 10)]
+    assert sorted((r["doc_id"], r["license_id"], r["coverage"], r["first_word"]) for r in got) == [(20, "Apache-2.0-line", 1.0, 10), (20, "Apache-2.0-line", 1.0, 18)]
     assert license_scan.license_spans(docs_of(spark, [])).count() == 0
 
 
@@ -214,17 +276,18 @@ def test_repeated_passages_are_cut(spark):
     passages = [" ".join(words(50 + k, 55)) for k in range(40)]
     rows = [(i, " ".join(words(1000 + i, 80)) + " " + passages[i % 40] + " " + " ".join(words(2000 + i, 60))) for i in range(120)]
     rows += [(500 + i, " ".join(words(9000 + i, 300))) for i in range(30)] + [(700 + i, t) for i, t in AWKWARD[:4]]
-    out = {r["doc_id"]: r for r in chunk_dedup.cut_repeats(docs_of(spark, rows), found_col="found").collect()}
+    assert kept_columns(chunk_dedup.cut_repeats(docs_of(spark, rows)))
+    out = {r["doc_id"]: r for r in chunk_dedup.cut_repeats(docs_of(spark, rows), found_col="cut").collect()}
     assert len(out) == len(rows)
     caught = 0
     for i, t in rows:
         r = out[i]
         if i < 40 or i >= 500 or not t:
-            assert r["found"] is None and r["text"] == t
+            assert r["cut"] is None and r["text"] == t
         else:
-            caught += r["found"] is not None
-            assert passages[i % 40] not in r["text"] or r["found"] is None
-            assert r["found"] is None or {j % 40 for j in r["found"]["repeat_of"]} == {i % 40}
+            caught += r["cut"] is not None
+            assert passages[i % 40] not in r["text"] or r["cut"] is None
+            assert r["cut"] is None or {j % 40 for j in r["cut"]["repeat_of"]} == {i % 40}
     assert caught >= 78  # of 80
     assert chunk_dedup.cut_repeats(docs_of(spark, [])).count() == 0
 
@@ -232,10 +295,10 @@ def test_repeated_passages_are_cut(spark):
 def test_passages_little_above_50_words_are_cut(spark):
     passages = [" ".join(words(30_000 + k, 51 + k % 10)) for k in range(200)]
     rows = [(i, " ".join(words(40_000 + i, 60)) + " " + passages[i % 200] + " " + " ".join(words(50_000 + i, 60))) for i in range(400)]
-    out = {r["doc_id"]: r for r in chunk_dedup.cut_repeats(docs_of(spark, rows), found_col="found").collect()}
+    out = {r["doc_id"]: r for r in chunk_dedup.cut_repeats(docs_of(spark, rows), found_col="cut").collect()}
     shares = []
     for i, t in rows[200:]:
-        spans = out[i]["found"]["spans"] if out[i]["found"] else []
+        spans = out[i]["cut"]["spans"] if out[i]["cut"] else []
         for s in spans:  # what is cut stands in the passage
             assert t.encode()[s["start"] : s["end"]].decode().strip() in passages[i % 200]
         shares.append(sum(s["end"] - s["start"] for s in spans) / len(passages[i % 200]))
@@ -246,6 +309,61 @@ def test_passages_little_above_50_words_are_cut(spark):
     assert chunk_dedup.cut_repeats(docs_of(spark, [(1, beat)])).first()["text"].startswith("one")
 
 
+def test_repeats_without_spaces_of_any_id_and_on_awkward_rows(spark):
+    r = random.Random(77)
+    script = lambda k, n: (lambda q: "".join(chr(0x4E00 + q.randrange(5000)) for _ in range(n)))(random.Random(k))
+    shared, code = script(1, 600), "".join(r.choice("abcdefghijklmnop0123456789+/") for _ in range(3000))
+    rows = [(f"d{i}", script(10 + i, 200) + shared + script(100 + i, 200)) for i in range(6)]
+    rows += [(f"e{i}", " ".join(words(400 + i, 40)) + " " + code + " " + " ".join(words(500 + i, 40))) for i in range(2)]
+    rows += [(None, " ".join(words(600, 100))), (None, " ".join(words(600, 100))), (None, " ".join(words(601, 90))), ("f", " ".join(words(601, 90)))]
+    rows += [(f"g{i}", t) for i, t in AWKWARD] + [("h", "one two"), ("h", LONG + " more")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id string, text string, `repeats` string")
+    out = chunk_dedup.cut_repeats(docs, found_col="cut").collect()
+    assert len(out) == len(rows)
+    by = {x["doc_id"]: x for x in out}
+    assert by["d0"]["cut"] is None and by["e0"]["cut"] is None and by["f"]["text"] == " ".join(words(601, 90))
+    for i in range(1, 6):
+        assert "d0" in by[f"d{i}"]["cut"]["repeat_of"] and len(by[f"d{i}"]["text"]) < 400 + 60
+    assert len(by["e1"]["text"]) < len(by["e0"]["text"]) - 2700
+    # null ids come after all others; rows that repeat an id and text are all the first
+    nulls = sorted(x["text"] for x in out if x["doc_id"] is None)
+    assert sum(t == " ".join(words(600, 100)) for t in nulls) == 2 and len(min(nulls, key=len)) < 100
+    # two rows of one id and other texts: the second repeats the long text of g5
+    assert sorted(len(x["text"]) for x in out if x["doc_id"] == "h")[1] < 1000
+    assert sum(x["text"] == LONG for x in out) == 1
+
+
+def brute_cut(rows, least):
+    """Where a text's bytes from a to b stand in a text of a smaller id too: the longest such spans of `least` words or more."""
+    words_at = {i: t.split(" ") for i, t in rows}
+    seen, spans = set(), {}
+    for i in sorted(words_at):
+        w = words_at[i]
+        grams = [" ".join(w[k : k + least]) for k in range(len(w) - least + 1)]
+        spans[i] = {k + j for k, g in enumerate(grams) if g in seen for j in range(least)}
+        seen |= set(grams)
+    return spans
+
+
+def test_cut_words_are_repeats_by_brute_force(spark):
+    r = random.Random(31)
+    shared = [" ".join(words(70_000 + k, r.randrange(30, 120))) for k in range(30)]
+    rows = [(i, " ".join(" ".join([" ".join(words(80_000 + 10 * i + k, r.randrange(10, 60))), r.choice(shared)]) for k in range(3))) for i in range(60)]
+    out = {x["doc_id"]: x for x in chunk_dedup.cut_repeats(docs_of(spark, rows), found_col="cut").collect()}
+    brute, cut, all_words = brute_cut(rows, 12), 0, 0
+    for i, t in rows:
+        at, own = 0, set()
+        for k, w in enumerate(t.split(" ")):
+            if out[i]["cut"] and any(s["start"] <= at and at + len(w) <= s["end"] for s in out[i]["cut"]["spans"]):
+                own.add(k)
+            at += len(w) + 1
+        # nothing is cut that does not stand in an earlier text or earlier in its own
+        assert len(own - brute[i]) <= 0.2 * len(own) or len(set(t.split(" "))) < len(t.split(" "))
+        cut += len(own & brute[i])
+        all_words += len(brute[i])
+    assert cut > 0.75 * all_words
+
+
 def brute_jaccard(rows):
     sets = {}
     for i, t in rows:
@@ -285,7 +403,13 @@ def test_jaccard_classes_equal_brute_force(spark, corpus, monkeypatch):
     assert got == want
     kept = {r["doc_id"] for r in shingle_join.drop_near_copies(docs_of(spark, rows)).collect()}
     assert kept == {c for _, c, _ in want}
+    assert kept_columns(shingle_join.drop_near_copies(docs_of(spark, rows)))
     assert shingle_join.jaccard_classes(docs_of(spark, [])).count() == 0
+    # ids of another type, and blocks by their shingles
+    monkeypatch.setattr(shingle_join, "BLOCK_SHINGLES", 2000)
+    named = docs_of(spark, near).withColumn("doc_id", F.concat(F.lit("n"), "doc_id"))
+    got = {(r["doc_id"], r["class_id"], r["n_links"]) for r in shingle_join.jaccard_classes(named).collect()}
+    assert got == {(f"n{i}", f"n{c}", n) for i, c, n in brute_jaccard(near)}
 
 
 def test_near_copies_with_repeated_and_null_ids(spark):
@@ -302,10 +426,11 @@ def test_near_copies_with_repeated_and_null_ids(spark):
 def test_exact_groups_on_awkward_rows(spark):
     import re
 
-    rows = AWKWARD + [(30, LONG + "x"), (31, LONG + "x"), (32, LONG[:-1] + "?"), (33, " one "), (34, " \tone\n")]
+    rows = [*AWKWARD, (None, "x"), (None, "x"), (None, "y")] + [(30, LONG + "x"), (31, LONG + "x"), (32, LONG[:-1] + "?"), (33, " one "), (34, " \tone\n")]
     norm = [(i, re.sub("[\x20\x09-\x0d]+", " ", t or "")) for i, t in rows]
-    want = sorted((i, min(j for j, u in norm if u == t), sum(u == t for _, u in norm), hashlib.sha256(t.encode()).hexdigest()) for i, t in norm)
-    got = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in exact.exact_groups(docs_of(spark, rows)).collect())
+    least = lambda ids: None if None in ids else min(ids)
+    want = sorted(((i, least([j for j, u in norm if u == t]), sum(u == t for _, u in norm), hashlib.sha256(t.encode()).hexdigest()) for i, t in norm), key=str)
+    got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in exact.exact_groups(docs_of(spark, rows)).collect()), key=str)
     assert got == want
     assert exact.exact_groups(docs_of(spark, [])).count() == 0
 
@@ -315,13 +440,30 @@ def test_line_templates(spark):
     prose = lambda k: " ".join(words(k, 12))
     rows = [(i, f"{prose(i)}\nVisited on day {r.randrange(999)} by reader {r.randrange(999)}\n{prose(100 + i)}\nShare this page with {'abcdefghij'[i % 10]} on the network now\n\n{prose(200 + i)}") for i in range(20)]
     copies = [(100 + i, "\n".join(prose(900 + k) for k in range(6))) for i in range(30)]
-    odd = [(700 + i, t) for i, t in AWKWARD[:4]] + [(800 + i, f"{i} {i + 1} {i * 7}\n{i}") for i in range(20)]  # figures are no template
-    out = {x["doc_id"]: x for x in line_templates.drop_recurring_lines(docs_of(spark, rows + copies + odd), n_col="dropped").collect()}
+    odd = [(700 + i, t) for i, t in AWKWARD] + [(800 + i, f"{i} {i + 1} {i * 7}\n{i}") for i in range(20)]  # figures are no template
+    # one document's own lines, however alike, recur in no other
+    alone = [(900, "\n".join(f"{prose(1000 + i)}\nOrder number {i} shipped to the north gate" for i in range(8)))]
+    out = line_templates.drop_recurring_lines(docs_of(spark, rows + copies + odd + alone), n_col="dropped")
+    assert kept_columns(out)
+    out = {x["doc_id"]: x for x in out.collect()}
     for i, t in rows:
         assert out[i]["dropped"] == 2 and out[i]["text"] == "\n".join(x for x in t.split("\n") if not x.startswith(("Visited", "Share")))
-    for i, t in copies + odd:
+    for i, t in copies + odd + alone:
         assert out[i]["dropped"] == 0 and out[i]["text"] == t
     assert line_templates.drop_recurring_lines(docs_of(spark, [])).count() == 0
+    line = F.lit("on 3 May 12 17")
+    assert spark.range(1).select(line_templates.masked(line), line_templates.masked(line, 0.8)).first()[:] == ("on 3 May 12 17", "on <*> May <*> <*>")
+
+
+def test_a_leaf_has_several_templates(spark):
+    """Three families and a fixed line that have token count and leading tokens in common."""
+    prose = lambda k: " ".join(words(k, 15))
+    name = lambda k: words(k, 1)[0]
+    line = lambda i: [f"Please read the guide of {name(i)} on page nine", f"Please read the {name(2000 + i)} that our office sent out", f"Please read the news from {name(4000 + i)} every second day", "Please read the small print below before you sign"][i % 4]
+    rows = [(i, f"{prose(10_000 + i)}\n{line(i)}\n{prose(20_000 + i)}") for i in range(48)]
+    out = {x["doc_id"]: x for x in line_templates.drop_recurring_lines(docs_of(spark, rows), n_col="dropped").collect()}
+    for i, t in rows:
+        assert out[i]["dropped"] == 1 and out[i]["text"] == "\n".join([t.split("\n")[0], t.split("\n")[2]]), line(i)
 
 
 def test_lines_recur_by_documents(spark):
@@ -332,12 +474,12 @@ def test_lines_recur_by_documents(spark):
     rows = [(i, "\n\n".join(page(i)) if i % 2 else "\n".join(page(i))) for i in range(40)]
     copies = [(100 + i, "\n\n".join(page(77))) for i in range(200)]
     near = [(400 + i, "\n\n".join(x + (f" {prose(20_000 + i)[:8]}" if k == i % 6 else "") for k, x in enumerate([prose(900 + k) for k in range(6)]))) for i in range(15)]
-    out = {x["doc_id"]: x for x in line_templates.drop_recurring_lines(docs_of(spark, rows + copies + near), n_col="dropped", by_documents=True).collect()}
+    out = {x["doc_id"]: x for x in line_templates.drop_recurring_lines(docs_of(spark, rows + copies + near), n_col="dropped").collect()}
     for i, t in rows + copies:
         assert out[i]["dropped"] == 3 and [x for x in t.split("\n") if x not in footer] == out[i]["text"].split("\n"), i
     for i, t in near:
         assert out[i]["dropped"] == 0 and out[i]["text"] == t
-    assert line_templates.drop_recurring_lines(docs_of(spark, []), by_documents=True).count() == 0
+    assert line_templates.drop_recurring_lines(docs_of(spark, [])).count() == 0
     import corpus_pipeline
 
     kept = corpus_pipeline.line_dedup(spark, docs_of(spark, rows), "").collect()
@@ -346,11 +488,31 @@ def test_lines_recur_by_documents(spark):
 
 def test_quality_on_awkward_rows(spark):
     good = " ".join(words(11, 120))
-    rows = AWKWARD + [(40, good), (41, " ".join(["same old words"] * 40)), (42, good.upper()), (43, good.replace(" ", "### "))]
-    got = {x["doc_id"]: x["rejected_by"] for x in quality.judge(docs_of(spark, rows)).collect()}
-    assert got[40] is None and got[1] == got[2] == got[4] == "short" and got[41] == "repeats" and got[42] == "capitals" and got[43] == "symbols"
-    assert quality.quality_rules(docs_of(spark, rows)).columns == docs_of(spark, rows).columns
-    assert quality.judge(docs_of(spark, [])).count() == 0
+    rows = AWKWARD + [(None, good), (40, good), (41, " ".join(["same old words"] * 40)), (42, good.upper()), (43, good.replace(" ", "### "))]
+    got = {x["doc_id"]: x["verdict"] for x in quality.judge(docs_of(spark, rows), verdict_col="verdict").collect()}
+    assert got[40] is None and got[None] is None and got[1] == got[2] == got[4] == "short" and got[41] == "repeats" and got[42] == "capitals" and got[43] == "symbols"
+    kept = quality.quality_rules(docs_of(spark, rows))
+    assert kept_columns(kept) and kept.columns == docs_of(spark, rows).columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 5, 6, 6, 40]
+    with pytest.raises(ValueError, match="rejected_by"):
+        quality.judge(docs_of(spark, rows))
+    assert quality.quality_rules(docs_of(spark, [])).count() == 0
+
+
+def test_rules_go_by_rejection_per_cost_and_stop(spark):
+    rule = lambda name, test=lambda t, n: F.lit(False): quality.Rule(name, test)
+    known = [(rule("dear"), 2.0, 0.5), (rule("cheap"), 0.1, 0.2), (rule("idle"), 0.1, 0.0), (rule("fast"), 0.0, 0.1), (rule("even"), 1.0, 0.25)]
+    measured = [{"rule": r, "seconds": s, "rejected": x} for r, s, x in known]
+    assert [r.name for r in quality.by_rejection_per_cost(measured)] == ["fast", "cheap", "dear", "even", "idle"]
+    # a rule behind one that rejects is not evaluated
+    docs = docs_of(spark, [(1, "bad text"), (2, "good text")])
+    raises = lambda t, n: F.when(t == "bad text", F.raise_error(F.lit("evaluated")).cast("boolean")).otherwise(False)
+    ordered = [rule("first", lambda t, n: t == "bad text"), rule("second", raises)]
+    assert [(r["row"]["doc_id"], r["rejected_by"]) for r in quality._judged(docs, ordered, "text").orderBy("row.doc_id").collect()] == [(1, "first"), (2, None)]
+    with pytest.raises(Exception, match="evaluated"):
+        quality._judged(docs, ordered[::-1], "text").collect()
+    # costs are taken rule by rule: the windows of three words cost more than the count of words
+    cost = {x["rule"].name: x["seconds"] for x in quality.measure(docs_of(spark, [(i, " ".join(words(i, 2000))) for i in range(200)]))}
+    assert cost["repeats"] > 2 * cost["short"]
 
 
 def test_packing_pieces_tile_documents_and_sequences(spark, corpus):
@@ -358,7 +520,7 @@ def test_packing_pieces_tile_documents_and_sequences(spark, corpus):
 
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     rows = corpus + [(10_000 + i, t) for i, t in AWKWARD if i != 6]
-    got = packing.pack_tokens(docs_of(spark, rows), P.path("word_bpe_49k.json"), buffer_tokens=50_000).toPandas()
+    got = packing.step_groups(packing.pack_tokens(docs_of(spark, rows).repartition(3), P.path("word_bpe_49k.json"), buffer_tokens=50_000), step_windows=2).toPandas()
     for i, t in rows:
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         own = got[got.doc_id == i].sort_values("start")
@@ -368,6 +530,16 @@ def test_packing_pieces_tile_documents_and_sequences(spark, corpus):
         assert seq.offset.tolist() == [0, *seq.length.cumsum().tolist()][:-1]
         n = int(seq.length.sum())
         assert n <= 4096 and n & (n - 1) == 0 and (seq.context == n).all()
+    # step groups: equal token counts over all tasks, but for each tier's last
+    groups = got.groupby(["context", "step_group"]).length.sum()
+    for context, own in groups.groupby(level=0):
+        sizes = own.sort_index().tolist()
+        assert set(sizes[:-1]) <= {2 * 4096} and 0 < sizes[-1] <= 2 * 4096, context
+    # few short windows: those that end a task
+    assert got[got.context < 512].sequence_id.nunique() <= 9 * 3
+    twice = packing.pack_tokens(docs_of(spark, [(6, LONG), (6, LONG), (None, "a"), (None, None)]), P.path("word_bpe_49k.json")).toPandas()
+    n = len(tok.encode(LONG, add_special_tokens=False).ids) + 1
+    assert twice[twice.doc_id == 6].length.sum() == 2 * n and (twice[twice.doc_id == 6].doc_tokens == n).all()
     assert packing.pack_tokens(docs_of(spark, []), P.path("word_bpe_49k.json")).count() == 0
 
 
@@ -379,3 +551,58 @@ def test_pipeline_stages_keep_the_columns(spark, sf_dir):
         assert stage(spark, docs, sf_dir).columns == docs.columns, name
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 4096").count() == 0 and out.count() > 0
+
+
+def planted():
+    """A small corpus with what each stage looks for, and the text that each document should come to."""
+    prose = lambda k, n=120: " ".join(words(k, n))
+    passage, footer = " ".join(words(777, 60)), ["Printed in the old town by friends", "Write to the office for back issues"]
+    rows, want = [], {}
+    for i in range(12):  # a footer in all
+        rows.append((i, "\n".join([prose(100 + i), *footer])))
+        want[i] = prose(100 + i)
+    rows += [(20, None), (21, "too short"), (22, " ".join(["same old words"] * 40))]  # rejected
+    rows += [(30, prose(300)), (31, prose(300)), (32, prose(300) + " more")]  # one group
+    want[30] = prose(300)
+    rows += [(40 + i, prose(400 + i) + " " + passage + " " + prose(500 + i)) for i in range(3)]  # a passage in three
+    want[40] = rows[-3][1]
+    return rows, want, passage
+
+
+def test_pipeline_decisions_take_effect(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rows, want, passage = planted()
+    docs_of(spark, rows).write.parquet(f"file://{tmp_path}/documents.parquet")
+    docs, after = spark.read.parquet(f"file://{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"file://{tmp_path}/{name}")
+        docs = spark.read.parquet(f"file://{tmp_path}/{name}")
+        after[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
+        assert all(r["n_chars"] == len(r["text"]) for r in docs.collect()) and kept_columns(docs)
+    every = dict(rows)
+    assert after["quality_rules"] == {i: t for i, t in every.items() if i not in (20, 21, 22)}
+    assert after["line_dedup"] == {i: want[i] if i < 12 else t for i, t in after["quality_rules"].items()}
+    assert after["near_copies"] == {i: t for i, t in after["line_dedup"].items() if i not in (31, 32)}
+    last = after["substring_dedup"]
+    assert {i: t for i, t in last.items() if i not in (41, 42)} == want
+    for i in (41, 42):
+        left = set(every[i].split()) & set(last[i].split())
+        assert len(last[i].split()) < 255 and set(words(400 + i - 40, 120)) - left == set() and passage not in last[i]
+    # the packed ids are those of the last texts, twice alike
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    total = {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in last.items()}
+    for _ in range(2):
+        packed = corpus_pipeline.run(spark, f"file://{tmp_path}").groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+        assert {r["doc_id"]: r["n"] for r in packed} == total
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    docs_of(spark, [*AWKWARD, (None, None), (None, LONG[:3000])]).write.parquet(f"file://{tmp_path}/a/documents.parquet")
+    ids = {r["doc_id"] for r in corpus_pipeline.run(spark, f"file://{tmp_path}/a").collect()}
+    assert ids == {5, None}  # the long text, once, and the text of the null id
+    docs_of(spark, []).write.parquet(f"file://{tmp_path}/b/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/b").count() == 0
