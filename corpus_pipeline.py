@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _recount(line_templates.drop_recurring_lines(docs, by_documents=True))
+    return _recount(line_templates.drop_recurring_lines(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.step_groups(packing.pack_tokens(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_copies", near_copies), ("substring_dedup", substring_dedup), ("packing", pack)]
