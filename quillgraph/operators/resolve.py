@@ -48,3 +48,27 @@ def canonical(entities: DataFrame, roots: DataFrame) -> DataFrame:
     e = entities.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = e.groupBy("root").agg(F.min(F.struct("created_at", F.lower("name").alias("n"), "id")).alias("c")).select("root", F.col("c.id").alias("canonical_id"))
     return e.join(first, "root").select("id", "name", "canonical_id")
+
+
+def mention_scores(mentions: DataFrame) -> DataFrame:
+    """left_id, right_id and score of entities that have a surface in common: 0.88, more for surfaces of no third entity, acronyms, figures and close years,
+    less for years far apart. mentions: entity_id, surface, year, acronym, digit.
+
+    Each entity's mentions of a surface are one row before the join, so that a pair of entities is made once for each common surface.
+    """
+    m = mentions.groupBy("surface", "entity_id").agg(F.max("acronym").alias("acronym"), F.max("digit").alias("digit"), F.min("year").alias("lo"), F.max("year").alias("hi"))
+    m = m.join(m.groupBy("surface").agg(F.count(F.lit(1)).alias("owners")).filter("owners > 1"), "surface")
+    side = lambda p: m.select("surface", "owners", *[F.col(c).alias(f"{p}_{c}") for c in ("entity_id", "acronym", "digit", "lo", "hi")])
+    pairs = side("l").join(side("r").drop("owners"), "surface").filter("l_entity_id < r_entity_id")
+    gap = F.greatest("l_hi", "r_hi") - F.least("l_lo", "r_lo")
+    cents = (
+        F.lit(88) + F.when(F.col("owners") == 2, 5).otherwise(0) + F.when(F.col("l_acronym") | F.col("r_acronym"), 2).otherwise(0) + F.when(F.col("l_digit") | F.col("r_digit"), 1).otherwise(0)
+        + F.when(gap <= 1, 3).when(gap > 5, -5).otherwise(0)
+    )
+    return pairs.groupBy(F.col("l_entity_id").alias("left_id"), F.col("r_entity_id").alias("right_id")).agg((F.max(F.least(cents, F.lit(100))) / 100.0).alias("score"))
+
+
+def remapped(rows: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
+    """rows whose column names the canonical entity in place of the merged one; mapping: id, canonical_id."""
+    to = mapping.filter("id <> canonical_id").select(F.col("id").alias("merged"), F.col("canonical_id").alias("canonical"))
+    return rows.join(to, F.col(column) == F.col("merged"), "left").withColumn(column, F.coalesce("canonical", column)).drop("merged", "canonical")

@@ -15,7 +15,7 @@ from quillgraph.operators import resolve as R
 from quillgraph.operators import search as V
 from quillgraph.operators import segment as G
 from quillgraph.operators import tables as S
-from quillgraph.plans import evidence_queries
+from quillgraph.plans import evidence_queries, metadata_queries
 from quillgraph.plans.adapt import AS_OF_YEAR, EVIDENCE_SQL, RESULTS_SQL, entities, evidence, results
 from quillgraph.plans.collect import collector
 from quillgraph.sources.readers import table
@@ -24,19 +24,18 @@ QUERIES, query = collector()
 
 
 def _edges(spark, sf, relation=None, min_conf=60):
-    inst = K.edge_instances(results(spark, sf))
-    return K.weighted_edges(inst.filter(F.col("relation") == relation) if relation else inst, AS_OF_YEAR, min_conf)
+    return K.weighted_edges(K.edge_instances(results(spark, sf), [relation] if relation else None), AS_OF_YEAR, min_conf)
 
 
 EDGE_SQL = f"""WITH {RESULTS_SQL},
 inst AS (SELECT 'evaluates_on' AS relation, method_id::VARCHAR AS source, dataset_id AS target, * FROM res WHERE dataset_id IS NOT NULL
   UNION ALL SELECT 'reports', method_id::VARCHAR, metric_id, * FROM res WHERE metric_id IS NOT NULL
   UNION ALL SELECT 'proposes', method_id::VARCHAR, task_id, * FROM res WHERE task_id IS NOT NULL),
-pp AS (SELECT relation, source, target, paper_id, sum(conf) * 10000 // count(*) AS mean, count(*) AS n, count(*) FILTER (verified) AS v, min(yr) AS a, max(yr) AS b, min(conf) AS lo, max(conf) AS hi FROM inst GROUP BY ALL),
-edges AS (SELECT relation, source, target, count(*)::BIGINT AS paper_count, (sum(mean) // count(*))::BIGINT AS mean_conf, sum(n)::BIGINT AS n_results, sum(v)::BIGINT AS n_verified,
+pp AS (SELECT relation, source, target, paper_id, sum(conf) * 10000 // count(*) AS mean, count(*) AS n, count(*) FILTER (verified) AS v, count(*) FILTER (is_sota) AS s, min(yr) AS a, max(yr) AS b, min(conf) AS lo, max(conf) AS hi FROM inst GROUP BY ALL),
+edges AS (SELECT relation, source, target, count(*)::BIGINT AS paper_count, (sum(mean) // count(*))::BIGINT AS mean_conf, sum(n)::BIGINT AS n_results, sum(v)::BIGINT AS n_verified, sum(s)::BIGINT AS n_statements,
   min(a)::INTEGER AS first_year, max(b)::INTEGER AS last_year, min(lo)::BIGINT AS min_conf, max(hi)::BIGINT AS max_conf FROM pp GROUP BY relation, source, target HAVING sum(mean) // count(*) >= 600000),
 w AS (SELECT *, (paper_count * mean_conf * (100 + 5 * least(greatest(5 - ({AS_OF_YEAR} - last_year), 0), 5) + least(20, 2 * (last_year - first_year)))
-  * (1000 + least(300, 30 * n_results) + 300 * n_verified // n_results))::BIGINT::DOUBLE / 1e11 AS weight FROM edges) """
+  * (1000 + least(300, 30 * n_results) + 300 * n_verified // n_results + least(100, 50 * n_statements)))::BIGINT::DOUBLE / 1e11 AS weight FROM edges) """
 
 
 def _edge_query(relation):
@@ -274,7 +273,9 @@ def mention_features(spark, sf):
 
 
 def _query_vector(spark, sf):
-    return table(spark, sf, "embeddings").filter("vec_id = 0").first()["embedding"]
+    """The one vector of a request; without it every score is 0."""
+    row = table(spark, sf, "embeddings").filter("vec_id = 0").first()
+    return row["embedding"] if row else []
 
 
 COSINE_SQL = """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q) """
@@ -462,7 +463,7 @@ def replace_for_paper(spark, sf):
     return S.replace_for_key(li.select("l_orderkey", "l_linenumber", "l_quantity"), new, "l_orderkey")
 
 
-QUERIES |= evidence_queries.QUERIES
+QUERIES |= evidence_queries.QUERIES | metadata_queries.QUERIES
 
 
 def queries() -> dict:

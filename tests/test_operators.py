@@ -38,8 +38,8 @@ def test_edge_weights(spark):
     assert edges.count() == 6
     assert graph.weighted_edges(graph.edge_instances(r), 2022, 75).count() == 0
     w = {(e["relation"], e["source"]): e["weight"] for e in edges.collect()}
-    # papers x mean confidence x recency x evidence
-    assert w["evaluates_on", "Alpha"] == pytest.approx(2 * 0.7 * 1.27 * 1.36)
+    # papers x mean confidence x recency x evidence, with one statement for Alpha
+    assert w["evaluates_on", "Alpha"] == pytest.approx(2 * 0.7 * 1.27 * 1.41)
     assert w["evaluates_on", "Beta"] == pytest.approx(1 * 0.7 * 1.25 * 1.03)
     pair = graph.compares(r).first()
     assert (pair["paper_count"], pair["mean_conf"]) == (1, 650_000)
@@ -77,3 +77,42 @@ def test_stream_counts(spark, tmp_path, sf_dir):
     q = status.hourly_counts(spark.readStream.schema(source.schema).parquet(f"file://{tmp_path}/in")).writeStream.format("memory").queryName("hourly").outputMode("complete").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("hourly").agg(F.sum("n")).first()[0] == source.count()
+
+
+def test_labels(spark):
+    from quillgraph.functions import labels as L
+
+    one = spark.range(1)
+    get = lambda c: one.select(c.alias("v")).first()["v"]
+    for t, low, good in [("The model", True, False), ("this", True, False), ("ResNet-50", False, True), ("et al.", False, False), ("[3] (4)", False, False), ("9 of 12345678", False, False), (None, True, False)]:
+        t = F.lit(t).cast("string")
+        assert (get(L.low_info(t)), get(L.good_label(t))) == (low, good)
+    for t, kind, fits in [("Accuracy", "metric", True), ("12 points", "metric", True), ("Winner", "metric", False), ("we use COCO", "dataset", False), ("reported gains", "task", False), ("COCO", "dataset", True)]:
+        assert get(L.fits_type(F.lit(t), F.lit(kind))) is fits, t
+    for t, noise in [("Table 3: scores", True), ("our results here", True), ("cat or dog", True), ("two cats", True), ("Two cats", False), ("COCO", False), (None, True)]:
+        assert get(L.noise_alias(F.lit(t).cast("string"))) is noise, t
+    assert get(L.without_noise_lines(F.lit("Figure 2: a\n12 13\n\nkept 4\n  \nTable of contents"))) == "kept 4\nTable of contents"
+    words = [F.lit(x) for x in ("reports", "F1", "0.9", "%", "COCO", "QA", "It wins")]
+    assert get(L.edge_summary(*words, F.lit(True))) == "It wins - F1 0.9% on COCO" and get(L.edge_summary(*words, F.lit(False))) is None
+    span = lambda a, b, m: get(L.span_in(F.lit("abcdef"), F.lit(a), F.lit(b), F.lit(m)))
+    assert tuple(span(-3, 2, "x")) == (0, 2) and tuple(span(5, 3, "cd")) == (2, 4) and span(9, 9, "x") is None
+
+
+def test_selections_and_limits():
+    assert graph.selection(" B, a,b", ["a", "b"], ["a"]) == ["b", "a"] and graph.selection(" ,", ["a", "b"], ["a"]) == ["a"]
+    with pytest.raises(ValueError, match="unknown: c"):
+        graph.selection("a,c", ["a", "b"], ["a"])
+    assert [graph.limit_of(x, 150, 500) for x in (None, 0, 7, 9999)] == [150, 1, 7, 500]
+
+
+def test_citation_tails(spark):
+    from quillgraph.functions import names
+
+    rows = [("COCO [1, 2]", "COCO"), ("COCO (Lin, 2014)", "COCO"), ("COCO (small)", "COCO (small)"), ("COCO vol. 3, no. 4", "COCO"), ("Graphene Phys. Rev. Lett. 12, 345 (1999) [7]", "Graphene"), ("Phys. Rev. Lett.", ""), ("BERT", "BERT")]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert [r["got"] for r in df.select(names.without_citations(F.col("t")).alias("got")).collect()] == [w for _, w in rows]
+
+
+def test_fallback_only_without_rows(spark):
+    a, b = spark.range(2), spark.range(5, 8)
+    assert graph.else_fallback(a, b).count() == 2 and graph.else_fallback(a.limit(0), b).count() == 3
