@@ -10,7 +10,7 @@ from itertools import repeat
 
 import numpy as np
 
-MAX_WORDS = 200_000
+MAX_WORDS = 300_000
 #: A character that makes a word, and a token, of its own; texts that hold it go to the library whole. Words of a run.
 MARK = "\x01"
 RUN = 256
@@ -75,8 +75,8 @@ class WordIds:
         return ids[~mark], np.diff(np.flatnonzero(mark), prepend=-1) - 1
 
     def add(self, words: list[str]) -> None:
-        for k in range(0, len(words), 5_000):
-            part = words[k : k + 5_000]
+        for k in range(0, len(words), 10_000):
+            part = words[k : k + 10_000]
             self.put(part, *self.ids_of(part))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
