@@ -98,3 +98,8 @@ def display_phrase(t: Column) -> Column:
 def plain_phrase(t: Column) -> Column:
     """Without bracket citations and a leading article."""
     return F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(t, r"\[[0-9, ]+\]", ""), r"\s+", " ")), "(?i)^(?:a|an|the) ", "")
+
+
+def target_kind(relation: Column) -> Column:
+    """What a relation's target is where nothing names its type."""
+    return F.when(relation == "reports", "metric").when(relation == "proposes", "task").when(relation == "evaluates_on", "dataset").when(relation.isin("uses", "compares"), "method").otherwise("concept")

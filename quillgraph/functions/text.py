@@ -91,7 +91,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def clean_aliases(a: Column) -> Column:
     """Trimmed, without blanks, repeats dropped in order."""
-    return F.array_distinct(F.filter(F.transform(a, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def mention_features(t: Column) -> tuple[Column, Column, Column]:

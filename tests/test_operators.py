@@ -12,6 +12,8 @@ from quillgraph.streaming import status
 
 def test_jaro_reference_points():
     assert similarity.jaro_of("martha", "marhta") == pytest.approx(0.944444, abs=1e-6)
+    # three characters out of order count as one transposition: halves are dropped
+    assert similarity.jaro_of("red gizmo", "large bolt") == pytest.approx(0.618519, abs=1e-6)
     assert similarity.jaro_winkler_of("martha", "marhta") == pytest.approx(0.961111, abs=1e-6)
     assert similarity.jaro_winkler_of("dwayne", "duane") == pytest.approx(0.84, abs=1e-6)
     assert similarity.jaro_winkler_of("old anvil", "old widget") == pytest.approx(0.811111, abs=1e-6)
@@ -116,3 +118,8 @@ def test_citation_tails(spark):
 def test_fallback_only_without_rows(spark):
     a, b = spark.range(2), spark.range(5, 8)
     assert graph.else_fallback(a, b).count() == 2 and graph.else_fallback(a.limit(0), b).count() == 3
+
+
+def test_aliases_are_trimmed_whatever_their_place(spark):
+    rows = spark.createDataFrame([([" x ", "0 a", " ", "b 2", "b 2 ", "x"],)], "a array<string>")
+    assert rows.select(text.clean_aliases(F.col("a"))).first()[0] == ["x", "0 a", "b 2"]
