@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunk_dedup, exact, license_scan, line_templates, packing, quality, sentencepiece_codec, shingle_join, token_count, warc
+from . import chunk_dedup, exact, huffman_ids, importance, license_scan, line_templates, packing, quality, sentencepiece_codec, shingle_join, token_count, warc, whitening
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_line_dedup": line_templates.op8_line_dedup,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_packing": packing.op10_packing,
+        "op11_huffman_ids": huffman_ids.op11_huffman_ids,
+        "op12_importance_resampling": importance.op12_importance_resampling,
+        "op13_embedding_whitening": whitening.op13_embedding_whitening,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_warc": warc.OP3_SQL, "op7_exact_dedup": exact.OP7_SQL, "op8_line_dedup": line_templates.OP8_SQL, "op9_quality_rules": quality.OP9_SQL}
+    return {"op3_warc": warc.OP3_SQL, "op7_exact_dedup": exact.OP7_SQL, "op8_line_dedup": line_templates.OP8_SQL, "op9_quality_rules": quality.OP9_SQL, "op12_importance_resampling": importance.OP12_SQL}
