@@ -72,40 +72,42 @@ class Codebook:
         order = np.lexsort((ids, bits))
         ids, bits = ids[order].astype(np.int64), bits[order].astype(np.int64)
         self.longest = int(bits[-1]) if len(bits) else 1
+        if self.longest > 25 or len(ids) and ids.max() >= 1 << 27:
+            raise ValueError("codes have up to 25 bits, ids up to 27")
         room = np.int64(1) << (self.longest - bits)
-        code = (np.cumsum(room) - room) >> (self.longest - bits)
         top = int(ids.max()) + 1 if len(ids) else 0
-        self.code, self.bits = np.zeros(top, np.uint64), np.zeros(top, np.int64)
-        self.code[ids], self.bits[ids] = code, bits
-        self.id_at, self.bits_at = np.zeros(1 << self.longest, np.uint32), np.ones(1 << self.longest, np.uint8)
-        used = int(room.sum())
-        self.id_at[:used], self.bits_at[:used] = np.repeat(ids, room), np.repeat(bits, room)
+        #: Codes with their first bit at the top of a word, and their bits.
+        self.code, self.bits = np.zeros(top, np.uint64), np.zeros(top, np.uint32)
+        self.code[ids], self.bits[ids] = (np.cumsum(room) - room).astype(np.uint64) << np.uint64(64 - self.longest), bits
+        #: For each value of the next `longest` bits the id that they begin with, and its bits in the lowest five.
+        self.table = np.ones(1 << self.longest, np.uint32)
+        self.table[: int(room.sum())] = np.repeat(ids << 5 | bits, room)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The codes in a row, and the bit offset of each CHECKPOINT-th id."""
         bits = self.bits[ids]
-        end = np.cumsum(bits)
+        end = np.cumsum(bits, dtype=np.uint32)
         at = end - bits
-        word, left = at >> 6, 64 - (at & 63) - bits
-        code = self.code[ids]
-        out = np.zeros((int(end[-1]) >> 6) + 2, np.uint64)
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        out[word[first]] = np.bitwise_or.reduceat(np.where(left >= 0, code << np.maximum(left, 0).astype(np.uint64), code >> np.maximum(-left, 0).astype(np.uint64)), first)
-        over = np.flatnonzero(left < 0)  # at most one a word
-        out[word[over] + 1] |= code[over] << (64 + left[over]).astype(np.uint64)
-        return out.astype(">u8").tobytes()[: (int(end[-1]) + 7) // 8], at[::CHECKPOINT]
-
-    def decode(self, payload: bytes, checkpoints: np.ndarray, n: int, longest_run: int = CHECKPOINT) -> np.ndarray:
+        word = at >> np.uint32(5)
+        # a code begins in each word of 32 bits and reaches into the next one at most
+        first = np.flatnonzero(np.diff(word, prepend=np.uint32(0xFFFFFFFF)))
+        both = np.bitwise_or.reduceat(self.code[ids] >> (at & np.uint32(31)), first)
+        out = np.zeros(len(both) + 1, np.uint32)
+        out[:-1] = both >> np.uint64(32)
+        out[1:] |= (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        return out.astype(">u4").tobytes()[: (int(end[-1]) + 7) // 8], at[::CHECKPOINT]
+
+    def decode(self, payload: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
         """n ids from the first checkpoint on: a look-up for each checkpoint at a time."""
-        raw = np.frombuffer(payload + bytes(longest_run * self.longest // 8 + 8), np.uint8).astype(np.uint32)
+        raw = np.frombuffer(payload + bytes(CHECKPOINT * self.longest // 8 + 8), np.uint8).astype(np.uint32)
         four = raw[:-3] << np.uint32(24) | raw[1:-2] << np.uint32(16) | raw[2:-1] << np.uint32(8) | raw[3:]
-        at = checkpoints.astype(np.int64)
-        out = np.zeros((longest_run, len(at)), np.uint32)
-        for k in range(longest_run):
-            window = (four[np.minimum(at >> 3, len(four) - 1)] << (at & 7).astype(np.uint32)) >> np.uint32(32 - self.longest)
-            out[k] = self.id_at[window]
-            at += self.bits_at[window]
-        return out.T.reshape(-1)[:n]
+        at = checkpoints.astype(np.uint32)
+        rest = np.uint32(32 - self.longest)
+        found = np.zeros((CHECKPOINT, len(at)), np.uint32)
+        for k in range(CHECKPOINT):
+            own = found[k] = self.table[(four[at >> np.uint32(3)] << (at & np.uint32(7))) >> rest]
+            at += own & np.uint32(31)
+        return (found.T >> np.uint32(5)).reshape(-1)[:n]
 
 
 @lru_cache(1)
@@ -175,13 +177,12 @@ def id_counts(tokens: DataFrame, width: int) -> DataFrame:
     def run(batches):
         seen = np.zeros(0, np.int64)
         for batch in batches:
-            for raw in batch.column("ids"):
-                own = np.bincount(np.frombuffer(raw.as_buffer(), f"<u{width}"))
-                if len(own) > len(seen):
-                    own[: len(seen)] += seen
-                    seen = own
-                else:
-                    seen[: len(own)] += own
+            own = np.bincount(np.concatenate([np.frombuffer(raw.as_buffer(), f"<u{width}") for raw in batch.column("ids")]))
+            if len(own) > len(seen):
+                own[: len(seen)] += seen
+                seen = own
+            else:
+                seen[: len(own)] += own
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["id", "n"])
 

@@ -16,15 +16,26 @@ MARK = "\x01"
 RUN = 256
 #: Letters from U+0130 on may change length in lower case or compose; U+001C to U+001F, U+0085 and U+00A0 part words in one of the two only; "<|" may begin an added token.
 _PLAIN = re.compile("[^\x01\x1c-\x1f\x85\xa0İ-\U0010ffff]*")
+#: Words whose characters stay as they are under NFC and in lower case, without an apostrophe; and the parts that the file's pattern makes of them.
+_SIMPLE = re.compile("[a-zß-öø-ÿ0-9!-&(-/:-@\\[-`{-~]+")
+_PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
+WORD_END = "</w>"
 
 
 class WordIds:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         (self.mark,) = self.tok.encode(MARK, add_special_tokens=False).ids
+        # the same model, for parts of words that need neither the file's normalizers nor its pattern
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tok.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -70,14 +81,27 @@ class WordIds:
     def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each has. Words go to the library in runs parted by MARK, whose id no other word has."""
         runs = [f" {MARK} ".join([*words[k : k + RUN], ""]) for k in range(0, len(words), RUN)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(runs, add_special_tokens=False)])
+        ids = self._joined(self.tok, runs)
         mark = ids == self.mark
         return ids[~mark], np.diff(np.flatnonzero(mark), prepend=-1) - 1
 
+    def ids_of_simple(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of simple words: their parts go to the library, and the last id of each part is one that ends a word."""
+        parts = [(w,) if w.isalpha() else _PARTS.findall(w) for w in words]
+        flat = [p for own in parts for p in own]
+        ids = self._joined(self.model, [" ".join(flat[k : k + RUN]) for k in range(0, len(flat), RUN)])
+        behind = np.flatnonzero(self.ends[ids])[np.cumsum([len(own) for own in parts]) - 1] + 1
+        return ids, np.diff(behind, prepend=0)
+
+    def _joined(self, tok, runs: list[str]) -> np.ndarray:
+        return np.concatenate([np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(runs, add_special_tokens=False)])
+
     def add(self, words: list[str]) -> None:
-        for k in range(0, len(words), 10_000):
-            part = words[k : k + 10_000]
-            self.put(part, *self.ids_of(part))
+        fits = list(map(_SIMPLE.fullmatch, words))
+        for ids_of, own in ((self.ids_of_simple, [w for w, fit in zip(words, fits) if fit]), (self.ids_of, [w for w, fit in zip(words, fits) if not fit])):
+            for k in range(0, len(own), 10_000):
+                part = own[k : k + 10_000]
+                self.put(part, *ids_of(part))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text."""
