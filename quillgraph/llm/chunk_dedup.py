@@ -5,9 +5,9 @@ LONG_WORD bytes, at each character) whether a chunk begins there. Both that and
 insertion moves boundaries no further than itself, and equal passages fall into equal pieces wherever they stand.
 A chunk is SPAN pieces in a row, and one begins at each piece, so that chunks overlap: they are long enough not to be
 equal by chance, and the ends of a passage are found to a piece.
-Chunks are known by a BLAKE2b digest of 128 bits. Of equal chunks the first of the smallest doc_id stays; a run of repeated chunks of
-MIN_WORDS words or more is cut out, where a run counts as a word for each WORD_CHARS characters at least: so the measure holds for scripts without spaces too.
-A passage below it is no repeat.
+Chunks are known by a BLAKE2b digest of 128 bits. Of equal chunks the first of the smallest doc_id stays, whole, also where repeated ones overlap it: so each chunk that
+texts have in common still stands in one of them. What is left of a run of repeated chunks of MIN_WORDS words or more is cut out, where a run counts as a word for each WORD_CHARS
+characters at least: so the measure holds for scripts without spaces too. A passage below it is no repeat.
 
 A passage of 50 words keeps MIN_WORDS words and more in whole chunks (its ends lie in pieces that reach beyond it), while
 phrases that texts have in common by chance are shorter. Counts are taken map-side; hot digests are split in the
@@ -129,28 +129,47 @@ def chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def repeated_chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash and the sorted list of its chunks that are repeats: structs of start, length, first_id."""
+    """doc_id, text_hash and the sorted list of the chunks that it has in common with other texts, or twice: structs of start, length, first_id, stays (it is the first of them).
+    Texts of which all such chunks stay are left out."""
     all_chunks = chunks(docs, text_col)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
     twice = all_chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1").select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
     twice = materialize(twice, "chunk-digests")
     met = salted_join(thin(all_chunks, twice, ["digest"]), twice, ["digest"], salts=8)
-    met = met.filter(F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("first_id")) | (F.col("text_hash") != F.col("first_hash")))
-    return met.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "length", "first_id"))).alias("repeats"))
+    met = met.withColumn("stays", ~F.col("again") & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")))
+    lists = met.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "length", "first_id", "stays"))).alias("repeats"))
+    return lists.filter(F.exists("repeats", lambda r: ~r["stays"]))
 
 
 def _runs(text: bytes, repeats: list[dict], min_words: int) -> list[tuple[int, int, list]]:
-    """(start, end, first ids) of runs of overlapping or adjoining repeats with at least min_words words."""
-    out: list = []
+    """(start, end, first ids) of what goes: runs of overlapping or adjoining repeats with at least min_words words, less the chunks in them that stay."""
+    runs: list = []
     for r in repeats:
         a, b = r["start"], r["start"] + r["length"]
-        if out and out[-1][1] >= a:
-            out[-1][1] = max(out[-1][1], b)
-            out[-1][2].append(r["first_id"])
+        if r["stays"]:
+            continue
+        if runs and runs[-1][1] >= a:
+            runs[-1][1] = max(runs[-1][1], b)
+            runs[-1][2].append(r["first_id"])
         else:
-            out.append([a, b, [r["first_id"]]])
-    own = [text[a:b] for a, b, _ in out]
-    return [tuple(x) for x, t in zip(out, own) if max(len(t.split()), len(t.decode()) // WORD_CHARS) >= min_words]
+            runs.append([a, b, [r["first_id"]]])
+    kept = [(r["start"], r["start"] + r["length"]) for r in repeats if r["stays"]]
+    out, k = [], 0
+    for a, b, firsts in runs:
+        own = text[a:b]
+        if max(len(own.split()), len(own.decode()) // WORD_CHARS) < min_words:
+            continue
+        while k < len(kept) and kept[k][1] <= a:  # starts and ends of chunks both rise
+            k += 1
+        for c, d in kept[k:]:
+            if c >= b:
+                break
+            if a < c:
+                out.append((a, c, firsts))
+            a = max(a, d)
+        if a < b:
+            out.append((a, b, firsts))
+    return out
 
 
 def cut_repeats(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS, found_col: str | None = None) -> DataFrame:
