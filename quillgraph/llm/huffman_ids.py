@@ -38,7 +38,7 @@ BLOCK_TOKENS = 1 << 16
 CHECKPOINT = 64
 #: Ids of a part, at which parts outnumber the shuffle partitions.
 PART_TOKENS = 1 << 25
-AT_A_TIME = 1 << 19
+AT_A_TIME = 1 << 21
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:

@@ -35,7 +35,7 @@ SMALLEST_TIER = 512
 STEP_WINDOWS = 8
 #: Tokens that a task gathers before it packs; bytes of text that are tokenized at a time.
 BUFFER_TOKENS = 1 << 20
-AT_A_TIME = 1 << 19
+AT_A_TIME = 1 << 21
 
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "context", "nth")
 
@@ -159,14 +159,14 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: s
 def step_groups(pieces: DataFrame, window: int = WINDOW, step_windows: int = STEP_WINDOWS) -> DataFrame:
     """pieces of pack_tokens() with step_group in place of nth: sequences of a context, numbered over all tasks, are dealt to groups of step_windows * window tokens.
 
-    The window function and the broadcast see a row for each task and context only.
+    The window function sees a row for each task and context only, and so does the smaller side of the join, whose size Spark checks before it broadcasts it.
     """
     pieces = materialize(pieces.withColumn("task", F.shiftright("sequence_id", 33)), "packed-pieces")
     counts = pieces.groupBy("context", "task").agg((F.max("nth") + 1).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("context").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     firsts = counts.select("context", "task", before.alias("before"))
     per_group = F.floor(F.lit(step_windows * window) / F.col("context"))
-    return pieces.join(F.broadcast(firsts), ["context", "task"]).withColumn("step_group", F.floor((F.col("before") + F.col("nth")) / per_group).cast("long")).drop("task", "before", "nth")
+    return pieces.join(firsts, ["context", "task"]).withColumn("step_group", F.floor((F.col("before") + F.col("nth")) / per_group).cast("long")).drop("task", "before", "nth")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ import re
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MAX_WORDS = 300_000
 #: A character that makes a word, and a token, of its own; texts that hold it go to the library whole. Words of a run.
@@ -96,38 +98,39 @@ class WordIds:
     def _joined(self, tok, runs: list[str]) -> np.ndarray:
         return np.concatenate([np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(runs, add_special_tokens=False)])
 
-    def add(self, words: list[str]) -> None:
-        fits = list(map(_SIMPLE.fullmatch, words))
-        for ids_of, own in ((self.ids_of_simple, [w for w, fit in zip(words, fits) if fit]), (self.ids_of, [w for w, fit in zip(words, fits) if not fit])):
-            for k in range(0, len(own), 10_000):
-                part = own[k : k + 10_000]
+    def add(self, words: list[str]) -> np.ndarray:
+        """Puts new words; where each of them went, counted from the first one put."""
+        fits = np.fromiter((_SIMPLE.fullmatch(w) is not None for w in words), bool, len(words))
+        order = np.argsort(~fits, kind="stable")
+        n, own = int(fits.sum()), [words[i] for i in order.tolist()]
+        for ids_of, a, b in ((self.ids_of_simple, 0, n), (self.ids_of, n, len(own))):
+            for k in range(a, b, 10_000):
+                part = own[k : min(b, k + 10_000)]
                 self.put(part, *ids_of(part))
+        out = np.zeros(len(words), np.int64)
+        out[order] = np.arange(len(words))
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text."""
         out: list = [None] * len(texts)
-        words: list[str] = []
-        plain, counts = [], []
-        for i, text in enumerate(texts):
-            if "<|" not in text and _PLAIN.fullmatch(text):
-                w = text.lower().split()
-                words += w
-                plain.append(i)
-                counts.append(len(w))
-            else:
-                out[i] = np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+        plain = [i for i, text in enumerate(texts) if "<|" not in text and _PLAIN.fullmatch(text)]
+        for i in set(range(len(texts))).difference(plain):
+            out[i] = np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, np.uint32)
         if len(self.at) > MAX_WORDS:
             self.age()
-        get = self.at.get
-        index = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-        if len(missing := np.flatnonzero(index < 0)):
-            self.add(list(dict.fromkeys(words[i] for i in missing.tolist())))
-            index[missing] = [get(words[i]) for i in missing.tolist()]
-        if len(index):
-            self.uses[: len(self.at)] += np.bincount(index, minlength=len(self.at))
-        ids, ends = self.gather(index)
-        at_word = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        at_id = np.concatenate([[0], ends])[at_word]
+        # each distinct word is looked up once; a text with white space at its ends has empty words there, which have no ids
+        split = pc.ascii_split_whitespace(pa.array([texts[i].lower() for i in plain], pa.string()))
+        words = split.flatten().dictionary_encode()
+        distinct, index = words.dictionary.to_pylist(), words.indices.to_numpy()
+        at = np.fromiter(map(self.at.get, distinct, repeat(-1)), np.int64, len(distinct))
+        if len(missing := np.flatnonzero(at < 0)):
+            first = len(self.at)
+            new = [distinct[i] for i in missing.tolist()]
+            at[missing] = first + self.add(new)
+        self.uses[: len(self.at)] += np.bincount(at, np.bincount(index, minlength=len(at)), len(self.at)).astype(np.int64)
+        ids, ends = self.gather(at[index])
+        at_id = np.concatenate([[0], ends])[split.offsets.to_numpy()]
         for k, i in enumerate(plain):
             out[i] = ids[at_id[k] : at_id[k + 1]]
         return out
