@@ -5,69 +5,110 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import normalized
-
-#: Words that point at something said elsewhere.
-PRONOUNS = ["it", "its", "itself", "they", "them", "theirs", "themselves", "we", "us", "our", "ours", "ourselves", "this", "that", "these", "those"]
-DETERMINERS = ["this", "that", "these", "those", "our", "the", "their", "proposed", "such"]
-GENERIC_NOUNS = ["method", "model", "approach", "system", "framework", "technique", "algorithm", "pipeline", "study", "work", "paper", "authors", "architecture", "results"]
-#: Words of which a citation consists.
-CITATION_WORDS = ["et", "al", "vol", "no", "pp", "eds", "ed", "proc", "conf", "fig", "table", "sec", "eq", "ref", "refs"]
-#: What names a metric, and what may stand behind its value.
-METRIC_KEYWORDS = ["accuracy", "f1", "f-score", "precision", "recall", "bleu", "rouge", "wer", "error", "loss", "perplexity", "auc", "psnr", "ssim", "mse", "mae", "dice", "iou", "exact match", "mrr"]
-VALUE_UNITS = ["%", "percent", "points", "score", "db", "ms", "sec", "minute", "hour", "fps", "flops", "params", "samples", "epochs", "iterations"]
-#: Verbs that make a sentence of what should be a name.
+from quillgraph.functions.text import EDGES, collapse, sanitize
+
+#: Terms that name nothing.
+LOW_INFO_TERMS = [
+    "it", "its", "itself", "they", "them", "theirs", "themselves", "we", "us", "our", "ours", "ourselves", "this", "that", "these", "those",
+    "the work", "the paper", "our paper", "the authors", "the method", "the model", "the approach", "the system", "the framework", "the technique", "the algorithm", "the pipeline", "the study",
+    "proposed method", "proposed model", "proposed approach",
+]
+#: What names nothing before one of the base terms, and these, which name nothing alone either.
+LOW_INFO_PREFIXES = ["this", "that", "these", "those", "our", "their", "its", "the proposed", "the presented", "the aforementioned", "such"]
+LOW_INFO_BASE_TERMS = ["method", "model", "approach", "system", "framework", "technique", "algorithm", "pipeline", "architecture", "study", "work"]
+#: Words of which a journal's abbreviation consists.
+CITATION_TOKENS = ["acta", "adv", "conf", "ieee", "int", "j", "lett", "letters", "nat", "phys", "proc", "rev", "symp", "trans"]
+#: What names a metric, and what may stand behind its value (anywhere in the text).
+METRIC_KEYWORDS = [
+    "accuracy", "f1", "f-score", "f score", "precision", "recall", "bleu", "bleu score", "rouge", "wer", "word error rate", "error rate", "error", "loss", "perplexity", "auc", "auroc", "auprc", "psnr", "ssim", "mse", "rmse",
+    "mae", "map", "mean average precision", "dice", "iou", "exact match", "top-1", "top 1", "top-5", "top 5", "cer", "mrr", "hit@1", "hit@5",
+]
+VALUE_UNITS = ["%", "percent", "percentage", "points", "score", "db", "ms", "s", "sec", "second", "seconds", "minute", "minutes", "hour", "hours", "fps", "flops", "params", "parameters", "samples", "epochs", "iterations"]
+#: What a sentence in place of a name begins with, and its verbs.
+SENTENCE_STARTS = ["we", "our", "this", "that", "these", "those"]
 REPORTING_VERBS = ["observe", "achieve", "report", "propose", "introduce", "improve", "show", "demonstrate", "evaluate"]
+#: Aliases that are noise, and what such ones begin with.
+NOISE_ALIASES = ["in table", "table", "at less than 1/", "less than 1/", "big model", "big transformer model"]
+NOISE_STARTS = ["see", "our", "their", "its", "this", "that", "these", "those"]
+RESULT_STARTS = ["these", "those", "our", "the"]
 NUMERALS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
+#: Tokens of a tokenizer that a text may show, words that begin a caption, what a picture of attention is called, titles of appendices.
+SPECIAL_TOKENS = ["<pad>", "<s>", "</s>", "<bos>", "</bos>", "<eos>", "</eos>", "<unk>", "</unk>", "[cls]", "[sep]", "[pad]"]
+CAPTION_WORDS = ["fig", "figure", "tab", "table"]
+ATTENTION_WORDS = ["map", "maps", "weight", "weights", "head", "heads", "visualization", "visualizations", "heatmap", "heatmaps"]
+ATTENTION_SIGNS = ["visualization", "heatmap", "matrix", "weights", "head"]
+APPENDIX_WORDS = ["appendix", "supplement", "supplementary"]
 
 
 def _any(words) -> str:
+    """One of the words, as a pattern."""
     return "|".join(words)
 
 
-def low_info(t: Column) -> Column:
-    """A pronoun, a generic noun, or a determiner with nothing or a generic noun behind it."""
-    n = normalized(F.coalesce(t, F.lit("")))
-    return (n == "") | n.rlike(f"^(?:{_any(PRONOUNS)}|{_any(GENERIC_NOUNS)})$") | n.rlike(f"^(?:{_any(DETERMINERS)})(?: (?:{_any(GENERIC_NOUNS)}))?$")
+def _text(t: Column) -> Column:
+    return F.coalesce(t, F.lit(""))
+
+
+def _has_any(t: Column, parts) -> Column:
+    return F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: F.contains(t, p))
 
 
-def _count(t: Column, signs: str) -> Column:
-    return F.length(t) - F.length(F.regexp_replace(t, signs, ""))
+def _starts(t: Column, words) -> Column:
+    """With one of the words and a space."""
+    return t.rlike(f"^(?:{_any(words)}) ")
+
+
+def low_info(t: Column) -> Column:
+    """Nothing, a term that names nothing, or a base term alone or behind one of the prefixes."""
+    n = F.lower(collapse(_text(t)))
+    return (n == "") | n.isin(LOW_INFO_TERMS + LOW_INFO_BASE_TERMS) | n.rlike(f"^(?:{_any(LOW_INFO_PREFIXES)}) (?:{_any(LOW_INFO_BASE_TERMS)})$")
 
 
 def good_label(t: Column) -> Column:
-    """Two letters at least, 35 % of its letters and figures, more letters than signs, and not only words of citations."""
-    t = F.coalesce(t, F.lit(""))
-    letters, other, signs = _count(t, "[A-Za-z]"), _count(t, "[A-Za-z0-9]"), _count(t, r"[\[\](){}.,;:%/*#-]")
-    cites = F.trim(F.regexp_replace(F.lower(t), "[^a-z]+", " ")).rlike(f"^(?:(?:{_any(CITATION_WORDS)})(?: |$))+$")
-    return ~low_info(t) & ~cites & (letters >= F.greatest(F.lit(2), F.floor(other * 0.35))) & (letters > signs)
+    """Two ASCII letters at least, 35 % of all letters and figures, more of them than of signs (but - _ /), and not only words of journals' abbreviations."""
+    t = _text(t)
+    words = F.regexp_extract_all(F.lower(t), F.lit("[a-z]+"), F.lit(0))
+    letters, other, signs = F.regexp_count(t, F.lit("[A-Za-z]")), F.regexp_count(t, F.lit(r"[\p{L}\p{N}]")), F.regexp_count(t, F.lit(r"[\p{Punct}&&[^_/-]]"))
+    cites = F.forall(words, lambda w: w.isin(CITATION_TOKENS))
+    return ~low_info(t) & ~cites & (letters >= F.greatest(F.lit(2), F.floor(other * F.lit(0.35)))) & (letters > signs)
+
+
+def _forms(verb: str) -> str:
+    return f"{verb[:-1]}(?:e|ed|es|ing)" if verb.endswith("e") else f"{verb}(?:ed|s|ing)?"
 
 
 def fits_type(t: Column, kind: Column) -> Column:
-    """A good label that as a metric names one or has a value with a unit, and as a dataset or task does not begin with a pronoun or hold a reporting verb."""
-    low, kind = F.lower(F.coalesce(t, F.lit(""))), F.lower(F.trim(F.coalesce(kind, F.lit(""))))
-    metric = low.rlike(_any(METRIC_KEYWORDS)) | (low.rlike("[0-9]") & low.rlike(_any(VALUE_UNITS)))
-    named = ~low.rlike(r"^\s*(?:we|our|this|that|these|those) ") & ~low.rlike(rf"\b(?:{_any(v[:-1] if v.endswith('e') else v for v in REPORTING_VERBS)})(?:e|es|ed|s|ing)?\b")
+    """A good label that as a metric names one or has a figure and a unit, and as a dataset or task does not begin like a sentence or hold a reporting verb."""
+    low, kind = F.lower(_text(t)), F.lower(collapse(_text(kind)))
+    metric = _has_any(low, METRIC_KEYWORDS) | (low.rlike(r"\p{Nd}") & _has_any(low, VALUE_UNITS))
+    named = ~_starts(F.regexp_replace(low, EDGES, ""), SENTENCE_STARTS) & ~low.rlike(rf"\b(?:{_any(map(_forms, REPORTING_VERBS))})\b")
     return good_label(t) & F.when(kind == "metric", metric).when(kind.isin("dataset", "task"), named).otherwise(True)
 
 
 def noise_alias(t: Column) -> Column:
-    """Empty, a reference to a table, figure or appendix, an alternative, a sentence about results, or a short phrase that begins with a numeral."""
-    text = F.trim(F.coalesce(t, F.lit("")))
+    """Empty, one of the noise aliases, a pointer, a reference to a table, figure or appendix, an alternative, a phrase about results, or up to three words in small letters of which the first is a numeral."""
+    text = F.regexp_replace(_text(t), EDGES, "")
     low = F.lower(text)
-    counted = (text == low) & text.rlike(rf"^(?:{_any(NUMERALS)})(?: [a-z]+){{0,2}}$")
-    about = low.rlike("^(?:these|those|our|the) ") & F.contains(low, F.lit("results"))
-    return (text == "") | F.contains(low, F.lit("appendix")) | low.rlike(r"\b(?:table|figure)\s+[0-9]+") | about | F.contains(low, F.lit(" or ")) | counted
-
-
-def noise_line(line: Column) -> Column:
-    """A blank line, a caption, or figures without a letter."""
-    low = F.trim(F.lower(line))
-    return (low == "") | low.rlike(r"^(?:table|figure|fig\.?)\s*[0-9]+\s*[:.]") | (low.rlike("[0-9]") & ~low.rlike(r"\p{L}"))
-
-
-def without_noise_lines(t: Column) -> Column:
-    return F.array_join(F.filter(F.split(t, "\n"), lambda x: ~noise_line(x)), "\n")
+    counted = (text == low) & text.rlike(rf"^(?:{_any(NUMERALS)})(?:\s+\p{{L}}+){{0,2}}$")
+    about = F.contains(low, F.lit("results")) & _starts(low, RESULT_STARTS)
+    placed = F.contains(low, F.lit("appendix")) | low.rlike(r"\b(?:table|figure)\s+\p{Nd}+")
+    return (text == "") | low.isin(NOISE_ALIASES) | _starts(low, NOISE_STARTS) | placed | about | F.contains(low, F.lit(" or ")) | counted
+
+
+def noise_line(line: Column, title: Column | None = None) -> Column:
+    """A blank line, a caption, a layer's name, the legend of a picture of attention, or figures without a letter. A section about attention, or an appendix, has more such legends."""
+    low = F.regexp_replace(F.lower(_text(line)), EDGES, "")
+    title = F.lower(_text(F.lit(None).cast("string") if title is None else title))
+    caption = low.rlike(rf"^(?:{_any(CAPTION_WORDS)})\s+[\p{{L}}\p{{N}}_-]")
+    pictured = low.rlike(rf"\battention\b.*\b(?:{_any(ATTENTION_WORDS)})\b")
+    shown = F.contains(title, F.lit("attention")) | title.rlike(rf"\b(?:{_any(APPENDIX_WORDS)})\b") | _has_any(low, ATTENTION_SIGNS) | (F.regexp_count(low, F.lit("attention")) > 1)
+    return (low == "") | caption | low.rlike(r"input-?input\s+layer") | (pictured & shown) | (low.rlike(r"\p{Nd}") & ~low.rlike(r"\p{L}"))
+
+
+def without_noise_lines(t: Column, title: Column | None = None) -> Column:
+    """The lines of a text that are no noise, without control characters and outer white space; lines that show special tokens go as well."""
+    lines = F.filter(F.split(_text(t), r"\r\n|[\n\r\x0B\f]"), lambda x: ~_has_any(F.lower(x), SPECIAL_TOKENS))
+    return F.array_join(F.filter(F.transform(lines, lambda x: F.coalesce(sanitize(x), F.lit(""))), lambda x: ~noise_line(x, title)), "\n")
 
 
 def edge_summary(relation: Column, metric: Column, value: Column, unit: Column, dataset: Column, task: Column, claim: Column, verified: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
-from quillgraph.functions.similarity import jaro_winkler
+from quillgraph.operators.fuzzy import similar_names
 
 
 def name_key(name: Column) -> Column:
@@ -21,11 +21,8 @@ def links_by_key(entities: DataFrame, key: Column) -> DataFrame:
 
 
 def scored_pairs(names: DataFrame, block: Column, threshold: float) -> DataFrame:
-    """Pairs of distinct names of one block at or above the Jaro-Winkler threshold; names are few where entities are many."""
-    n = names.select("name", block.alias("block")).distinct()
-    a, b = n.select(F.col("name").alias("left_name"), "block"), n.select(F.col("name").alias("right_name"), "block")
-    pairs = a.join(b, "block").filter("left_name < right_name").select("left_name", "right_name").distinct()
-    return pairs.withColumn("score", F.round(jaro_winkler("left_name", "right_name"), 6)).filter(F.col("score") >= threshold)
+    """Pairs of distinct names of one block at or above the Jaro-Winkler threshold."""
+    return similar_names(names.select("name", block.alias("block")), threshold)
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:

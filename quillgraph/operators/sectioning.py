@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,10 @@ def is_heading(text: Column, font: Column, largest: Column, bold: Column, median
     font, largest, median = (F.coalesce(c, F.lit(0.0)) for c in (font, largest, median))
     letters = F.regexp_count(t, F.lit(r"\p{L}"))
     capitals = F.regexp_count(t, F.lit(r"\p{Lu}"))
-    named = F.lower(t).isin(HEADINGS) | t.rlike(r"^[0-9]+(\.[0-9]+)* ") | t.rlike("^[A-Z][A-Z0-9 :,-]{2,}$")
+    # a title in capitals: nothing but capitals, figures and the signs that titles have, a capital first
+    capital, signs = string.ascii_uppercase, string.digits + " -:,"
+    titled = (F.length(t) >= 3) & F.left(t, F.lit(1)).isin(*capital) & (F.translate(t, capital + signs, "") == "")
+    named = F.lower(t).isin(HEADINGS) | t.rlike(r"^[0-9]+(\.[0-9]+)* ") | titled
     large = (median > 0) & ((font >= median * 1.2) | (largest >= median * 1.25))
     strong = F.coalesce(bold, F.lit(False)) & ((median == 0) | (font >= median * 1.05) | (capitals * 10 >= letters * 6))
     shouted = (capitals * 4 >= letters * 3) & (F.size(F.split(t, " ")) <= 10)

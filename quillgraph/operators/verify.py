@@ -35,20 +35,46 @@ def _flat(raw: pd.Series) -> pd.Series:
     return pd.Series([alias_values(x) for x in raw], dtype=object)
 
 
+def may_be_near(sentence: Column, quote: Column) -> Column:
+    """False only where near_span() is null, without a look at the alignment.
+
+    A common block of k characters, as near_span() wants it, holds one of the quote's parts of (k + 1) / 2 characters that begin at every multiple of that length;
+    and a ratio bounds how much longer one text may be than the other.
+    """
+    low, wanted = F.lower(sentence), F.lower(quote)
+    k = F.greatest(F.lit(LEAST_BLOCK), F.floor(F.length(quote) * F.lit(BLOCK_SHARE)).cast("int"))
+    size = F.floor((k + 1) / 2).cast("int")
+    starts = F.when(F.length(wanted) >= k, F.sequence(F.lit(0), F.length(wanted) - size, size)).otherwise(F.array().cast("array<int>"))
+    alike = F.least(F.length(low), F.length(wanted)) * 2 >= (F.length(low) + F.length(wanted)) * F.lit(LEAST_RATIO)
+    return alike & F.exists(starts, lambda i: F.contains(low, F.substring(wanted, i + 1, size)))
+
+
+def evidence_pairs(claims: DataFrame, sentences: DataFrame, paper: str, claim_id: str, order: str) -> DataFrame:
+    """Claims with the sentences of their paper: at (place of an exact copy, 0 without one), and near (a near match is possible)."""
+    pairs = claims.filter("trim(quote) <> ''").join(sentences.select(paper, order, "sentence"), paper)
+    pairs = pairs.withColumn("at", F.expr("locate(lower(trim(quote)), lower(sentence))"))
+    return pairs.withColumn("near", (F.col("at") == 0) & F.coalesce(may_be_near(F.col("sentence"), F.trim("quote")), F.lit(False)))
+
+
 def match_evidence(claims: DataFrame, sentences: DataFrame, paper: str, claim_id: str, order: str) -> DataFrame:
     """First sentence of the paper that holds the claim's quote, and where; a near match only in sentences that do not hold it.
 
-    claims: paper, claim_id, quote. sentences: paper, order, sentence. A claim meets the sentences of its own paper by an equi-join;
-    the Arrow UDF sees only those that contain no exact copy. Claims without a match are left out.
+    claims: paper, claim_id, quote. sentences: paper, order, sentence. A claim meets the sentences of its own paper by an equi-join; only those
+    that have a part of the quote, which stays in the JVM, are aligned, in Arrow batches. Claims without a match are left out.
     """
-    pairs = claims.filter("trim(quote) <> ''").join(sentences.select(paper, order, "sentence"), paper)
-    exact = pairs.withColumn("at", F.expr("locate(lower(trim(quote)), lower(sentence))"))
-    hit = exact.filter("at > 0").select(paper, claim_id, order, (F.col("at") - 1).alias("start"), (F.col("at") - 1 + F.length(F.trim("quote"))).alias("end"), F.lit(False).alias("fuzzy"))
-    near = exact.filter("at = 0").withColumn("n", pandas_udf(_near, "start int, end int")("sentence", F.trim("quote"))).filter("n.start IS NOT NULL").select(paper, claim_id, order, "n.start", "n.end", F.lit(True).alias("fuzzy"))
+    pairs = evidence_pairs(claims, sentences, paper, claim_id, order)
+    hit = pairs.filter("at > 0").select(paper, claim_id, order, (F.col("at") - 1).alias("start"), (F.col("at") - 1 + F.length(F.trim("quote"))).alias("end"), F.lit(False).alias("fuzzy"))
+    near = pairs.filter("near").withColumn("n", pandas_udf(_near, "start int, end int")("sentence", F.trim("quote"))).filter("n.start IS NOT NULL").select(paper, claim_id, order, "n.start", "n.end", F.lit(True).alias("fuzzy"))
     best = hit.unionByName(near).groupBy(paper, claim_id).agg(F.min(F.struct(order, "start", "end", "fuzzy")).alias("m"))
     return best.select(paper, claim_id, "m.*")
 
 
+def evidence_candidates(claims: DataFrame, sentences: DataFrame, paper: str, claim_id: str, order: str) -> DataFrame:
+    """For each claim the sentences of its paper, those that hold its quote, and those that are aligned."""
+    pairs = evidence_pairs(claims, sentences, paper, claim_id, order)
+    return pairs.groupBy(paper, claim_id).agg(F.count(F.lit(1)).alias("sentences"), F.count_if(F.col("at") > 0).alias("exact"), F.count_if("near").alias("aligned"))
+
+
 def resolve_references(mentions: DataFrame, section: str, order: str, kind: str, value: str, needs: str) -> DataFrame:
     """What each reference stands for: the last value of its kind in the section, else the last of the kind seen first there; a resolved
     reference then counts as a value of its own kind.

@@ -26,28 +26,41 @@ def n_rows():
 # ---- labels, terms, aliases, lines
 
 #: Labels of every kind that the predicates tell apart, by number.
-LABELS = ["the model", "Its", "our", "vol. 3 pp", "[1], (2)", "12 % 4 a", "Accuracy of {n}%", "BLEU", "{n} ms", "we use {p}", "{p} improves", "{p}", "{p}-{n}", "table {n}: {p}", "Figure  {n}", "these results", "{p} or {p}", "two {w}", "Two {w}", "see appendix {n}", "{n}.{n}", ""]
+LABELS = [
+    "the model", "Its", "our", "vol. 3 pp", "[1], (2)", "12 % 4 a", "Accuracy of {n}%", "BLEU", "{n} ms", "we use {p}", "{p} improves", "{p}", "{p}-{n}", "table {n}: {p}", "Figure  {n}", "these results", "{p} or {p}", "two {w}", "Two {w}",
+    "see appendix {n}", "{n}.{n}", "", "The  proposed method", "the presented approach", "results", "authors", "proposed", "such work", "their", "the aforementioned {w}", "big model", "in table", "see Section {n}", "their {w}", "AUROC", "Hit@1 {n}",
+    "top 5", "Acta Phys. Rev. ({n})", "Proc. {w}", "rmse_{n}", "those {p} report it", "{w} reporting", "{w}/{n}-a", "#{n}; {w}", "<PAD> {p}", "x [SEP] {w}", "attention weights of {w}", "attention map", "attention and attention maps", "Table of contents",
+    "Fig {n}b. {p}", "input-Input  layer {n}", "three {w} {w}", "four {n} {w}", "the {w} results", "a {w} that showed {n}",
+]
 
 
-def _labelled(spark, sf):
-    k = F.col("p_partkey") % len(LABELS)
+def _labelled(spark, sf, texts=True):
+    """Made-up labels by part, and by documents (under negative numbers) their first words."""
+    k, kinds = F.col("p_partkey") % len(LABELS), F.array(*[F.lit(x) for x in ("metric", "dataset", " Task ", "method", "")])
     fill = lambda x: F.replace(F.replace(F.replace(F.lit(x), F.lit("{p}"), F.col("p_name")), F.lit("{n}"), F.col("p_size").cast("string")), F.lit("{w}"), F.split("p_name", " ")[0])
     label = F.coalesce(*[F.when(k == i, fill(x)) for i, x in enumerate(LABELS)])
-    kind = F.element_at(F.array(*[F.lit(x) for x in ("metric", "dataset", " Task ", "method", "")]), (F.floor(F.col("p_partkey") / len(LABELS)) % 5 + 1).cast("int"))
-    return table(spark, sf, "part").select("p_partkey", label.alias("label"), kind.alias("kind"))
+    kind = F.element_at(kinds, (F.floor(F.col("p_partkey") / len(LABELS)) % 5 + 1).cast("int"))
+    own = table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), label.alias("label"), kind.alias("kind"))
+    d = F.col("doc_id")
+    words = table(spark, sf, "documents").select((-1 - d).alias("p_partkey"), F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 1 + (d % 4).cast("int")), " ").alias("label"), F.element_at(kinds, (d % 5 + 1).cast("int")).alias("kind"))
+    return own.unionByName(words) if texts else own
 
 
+_KINDS = "(['metric', 'dataset', ' Task ', 'method', ''])"
 LABEL_SQL = (
-    "lab AS (SELECT p_partkey, replace(replace(replace(CASE p_partkey % " + str(len(LABELS)) + " " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(LABELS))
-    + " END, '{p}', p_name), '{n}', p_size::VARCHAR), '{w}', string_split(p_name, ' ')[1]) AS label, (['metric', 'dataset', ' Task ', 'method', ''])[(p_partkey // " + str(len(LABELS)) + ") % 5 + 1] AS kind FROM part)"
+    "own AS (SELECT p_partkey::BIGINT AS p_partkey, replace(replace(replace(CASE p_partkey % " + str(len(LABELS)) + " " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(LABELS))
+    + " END, '{p}', p_name), '{n}', p_size::VARCHAR), '{w}', string_split(p_name, ' ')[1]) AS label, " + _KINDS + "[(p_partkey // " + str(len(LABELS)) + ") % 5 + 1] AS kind FROM part),\n"
+    "lab AS (SELECT *, lower(label) AS low, regexp_replace(lower(label), '^\\s+|\\s+$', '', 'g') AS bare FROM (FROM own UNION ALL SELECT -1 - doc_id, array_to_string(string_split(coalesce(text, ''), ' ')[1:1 + doc_id % 4], ' '), " + _KINDS + "[doc_id % 5 + 1] FROM documents))"
 )
-_in = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
-INFO_SQL = f""", info AS (SELECT *, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS n FROM lab),
-low AS (SELECT *, n = '' OR n IN {_in(L.PRONOUNS)} OR n IN {_in(L.GENERIC_NOUNS)} OR n IN {_in(L.DETERMINERS)}
-  OR (string_split(n, ' ')[1] IN {_in(L.DETERMINERS)} AND len(string_split(n, ' ')) = 2 AND string_split(n, ' ')[2] IN {_in(L.GENERIC_NOUNS)}) AS low_info FROM info),
-good AS (SELECT *, NOT low_info AND len(regexp_extract_all(label, '[A-Za-z]')) >= greatest(2, floor(len(regexp_extract_all(label, '[A-Za-z0-9]')) * 0.35))
-  AND len(regexp_extract_all(label, '[A-Za-z]')) > len(regexp_extract_all(label, '[\\[\\](){{}}.,;:%/*#-]'))
-  AND len(list_filter(regexp_extract_all(lower(label), '[a-z]+'), lambda x: x NOT IN {_in(L.CITATION_WORDS)})) > 0 AS good FROM low)"""
+_list = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+#: The rules once more, by lists and words in place of patterns.
+INFO_SQL = f""", info AS (SELECT *, trim(regexp_replace(low, '\\s+', ' ', 'g')) AS n FROM lab),
+marked AS (SELECT *, n = '' OR list_contains({_list(L.LOW_INFO_TERMS)}, n) OR list_contains({_list(L.LOW_INFO_BASE_TERMS)}, n)
+  OR len(list_filter({_list(L.LOW_INFO_PREFIXES)}, lambda p: starts_with(n, p || ' ') AND list_contains({_list(L.LOW_INFO_BASE_TERMS)}, trim(n[len(p) + 1:])))) > 0 AS low_info,
+  len(regexp_extract_all(label, '[A-Za-z]')) AS letters, len(regexp_extract_all(label, '[\\p{{L}}\\p{{N}}]')) AS other,
+  len(list_filter(string_split(label, ''), lambda c: c <> '' AND contains('!"#$%&''()*+,.:;<=>?@[\\]^`{{|}}~', c))) AS signs FROM info),
+good AS (SELECT *, NOT low_info AND letters >= greatest(2, floor(other * 0.35::DOUBLE)) AND letters > signs
+  AND len(list_filter(regexp_extract_all(low, '[a-z]+'), lambda x: NOT list_contains({_list(L.CITATION_TOKENS)}, x))) > 0 AS good FROM marked)"""
 
 
 @query(f"WITH {LABEL_SQL}{INFO_SQL} SELECT p_partkey, low_info, good FROM good")
@@ -55,29 +68,44 @@ def label_quality(spark, sf):
     return _labelled(spark, sf).select("p_partkey", L.low_info(F.col("label")).alias("low_info"), L.good_label(F.col("label")).alias("good"))
 
 
+_VERB_FORMS = [f for v in L.REPORTING_VERBS for f in ((v, v + "d", v + "s", v[:-1] + "ing") if v.endswith("e") else (v, v + "ed", v + "s", v + "ing"))]
+
+
 @query(
-    f"""WITH {LABEL_SQL}{INFO_SQL} SELECT p_partkey, good AND CASE lower(trim(kind)) WHEN 'metric' THEN len(list_filter({list(L.METRIC_KEYWORDS)}, lambda x: contains(lower(label), x))) > 0
-  OR (regexp_matches(label, '[0-9]') AND len(list_filter({list(L.VALUE_UNITS)}, lambda x: contains(lower(label), x))) > 0)
-  WHEN 'dataset' THEN NOT (starts_with(label, 'we ') OR contains(label, 'improves')) WHEN 'task' THEN NOT (starts_with(label, 'we ') OR contains(label, 'improves')) ELSE true END AS fits FROM good"""
+    f"""WITH {LABEL_SQL}{INFO_SQL} SELECT p_partkey, good AND CASE lower(trim(kind)) WHEN 'metric' THEN len(list_filter({_list(L.METRIC_KEYWORDS)}, lambda x: contains(low, x))) > 0
+    OR (regexp_matches(label, '[0-9]') AND len(list_filter({_list(L.VALUE_UNITS)}, lambda x: contains(low, x))) > 0)
+  WHEN 'method' THEN true WHEN '' THEN true
+  ELSE len(list_filter({_list(L.SENTENCE_STARTS)}, lambda p: starts_with(bare, p || ' '))) = 0 AND NOT list_has_any({_list(_VERB_FORMS)}, string_split(regexp_replace(low, '[^a-z0-9_]+', ' ', 'g'), ' ')) END AS fits FROM good"""
 )
 def label_fits_type(spark, sf):
     return _labelled(spark, sf).select("p_partkey", L.fits_type(F.col("label"), F.col("kind")).alias("fits"))
 
 
 @query(
-    f"""WITH {LABEL_SQL} SELECT p_partkey, label = '' OR label LIKE '%appendix%' OR regexp_matches(lower(label), '(table|figure) +[0-9]') OR label = 'these results' OR label LIKE '% or %' OR label LIKE 'two %' AS noise FROM lab"""
+    f"""WITH {LABEL_SQL}, w AS (SELECT *, regexp_split_to_array(bare, '\\s+') AS w, regexp_replace(label, '^\\s+|\\s+$', '', 'g') = bare AS small FROM lab)
+SELECT p_partkey, bare = '' OR list_contains({_list(L.NOISE_ALIASES)}, bare) OR len(list_filter({_list(L.NOISE_STARTS)}, lambda p: starts_with(bare, p || ' '))) > 0 OR contains(bare, 'appendix')
+  OR regexp_matches(bare, '\\btable\\s+[0-9]') OR regexp_matches(bare, '\\bfigure\\s+[0-9]') OR (contains(bare, 'results') AND len(list_filter({_list(L.RESULT_STARTS)}, lambda p: starts_with(bare, p || ' '))) > 0)
+  OR contains(bare, ' or ') OR (len(w) <= 3 AND small AND list_contains({_list(L.NUMERALS)}, w[1]) AND len(list_filter(w, lambda x: NOT regexp_full_match(x, '\\p{{L}}+'))) = 0) AS noise FROM w"""
 )
 def alias_noise(spark, sf):
     return _labelled(spark, sf).select("p_partkey", L.noise_alias(F.col("label")).alias("noise"))
 
 
+_TITLES = ["Attention in brief", "Supplementary notes", "Introduction"]
+
+
 @query(
-    f"""WITH {LABEL_SQL}, b AS (SELECT p_partkey // 22 AS section, string_agg(label, chr(10) ORDER BY p_partkey) AS body FROM lab GROUP BY 1)
-SELECT section::BIGINT AS section, array_to_string(list_filter(string_split(body, chr(10)), lambda x: trim(x) <> '' AND NOT regexp_matches(lower(trim(x)), '^(table|figure) *[0-9]+ *[:.]') AND NOT (regexp_matches(x, '[0-9]') AND NOT regexp_matches(x, '[A-Za-z]'))), chr(10)) AS body FROM b"""
+    f"""WITH {LABEL_SQL}, b AS (SELECT p_partkey // 57 AS section, p_partkey, label, bare, lower({_list(_TITLES)}[(p_partkey // 57) % 3 + 1]) AS title FROM lab WHERE p_partkey >= 0),
+k AS (SELECT section, p_partkey, label, bare = '' OR len(list_filter({_list(L.SPECIAL_TOKENS)}, lambda x: contains(bare, x))) > 0
+    OR regexp_matches(bare, '^(fig|figure|tab|table)\\s+[\\p{{L}}\\p{{N}}_-]') OR regexp_matches(bare, 'input-?input\\s+layer') OR (regexp_matches(label, '[0-9]') AND NOT regexp_matches(label, '\\p{{L}}'))
+    OR (regexp_matches(bare, '\\battention\\b.*\\b({"|".join(L.ATTENTION_WORDS)})\\b') AND (title <> 'introduction' OR len(list_filter({_list(L.ATTENTION_SIGNS)}, lambda x: contains(bare, x))) > 0 OR len(string_split(bare, 'attention')) > 2)) AS noise FROM b)
+SELECT section::BIGINT AS section, coalesce(string_agg(regexp_replace(label, '^\\s+|\\s+$', '', 'g'), chr(10) ORDER BY p_partkey) FILTER (NOT noise), '') AS body FROM k GROUP BY 1"""
 )
 def lines_without_noise(spark, sf):
-    rows = _labelled(spark, sf).groupBy(F.floor(F.col("p_partkey") / 22).alias("section")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "label"))).alias("l"))
-    return rows.select("section", L.without_noise_lines(F.array_join(F.transform("l", lambda x: x["label"]), "\n")).alias("body"))
+    section = F.floor(F.col("p_partkey") / 57)
+    rows = _labelled(spark, sf, texts=False).groupBy(section.alias("section")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "label"))).alias("l"))
+    title = F.element_at(F.array(*[F.lit(x) for x in _TITLES]), (F.col("section") % 3 + 1).cast("int"))
+    return rows.select("section", L.without_noise_lines(F.array_join(F.transform("l", lambda x: x["label"]), "\n"), title).alias("body"))
 
 
 @query(

@@ -86,14 +86,19 @@ def test_labels(spark):
 
     one = spark.range(1)
     get = lambda c: one.select(c.alias("v")).first()["v"]
-    for t, low, good in [("The model", True, False), ("this", True, False), ("ResNet-50", False, True), ("et al.", False, False), ("[3] (4)", False, False), ("9 of 12345678", False, False), (None, True, False)]:
+    for t, low, good in [("The model", True, False), ("this", True, False), ("the proposed  Method", True, False), ("the presented approach", True, False), ("their work", True, False), ("results", False, True), ("authors", False, True), ("proposed", False, True), ("their", False, True),
+                         ("ResNet-50", False, True), ("et al.", False, True), ("Phys. Rev.", False, False), ("[3] (4)", False, False), ("9 of 12345678", False, False), ("ab!?", False, False), ("a/b", False, True), (None, True, False)]:
         t = F.lit(t).cast("string")
         assert (get(L.low_info(t)), get(L.good_label(t))) == (low, good)
-    for t, kind, fits in [("Accuracy", "metric", True), ("12 points", "metric", True), ("Winner", "metric", False), ("we use COCO", "dataset", False), ("reported gains", "task", False), ("COCO", "dataset", True)]:
-        assert get(L.fits_type(F.lit(t), F.lit(kind))) is fits, t
-    for t, noise in [("Table 3: scores", True), ("our results here", True), ("cat or dog", True), ("two cats", True), ("Two cats", False), ("COCO", False), (None, True)]:
+    for t, kind, fits in [("Accuracy", "metric", True), ("12 points", "metric", True), ("Winner", "metric", False), ("AUROC", "metric", True), ("hit@1", "metric", True), ("7 db gain", "metric", True), ("we use COCO", "dataset", False), ("reported gains", "task", False),
+                          ("reporter gains", "task", True), ("COCO", "dataset", True), ("these reports", "", True), ("anything", None, True)]:
+        assert get(L.fits_type(F.lit(t), F.lit(kind).cast("string"))) is fits, t
+    for t, noise in [("Table 3: scores", True), ("our results here", True), ("cat or dog", True), ("two cats", True), ("Two cats", False), ("two cats run far", False), ("two 3d cats", False), ("COCO", False), ("big model", True), ("In table", True), ("see Section 3", True),
+                     ("our approach", True), ("seesaw", False), ("the results", True), (None, True)]:
         assert get(L.noise_alias(F.lit(t).cast("string"))) is noise, t
-    assert get(L.without_noise_lines(F.lit("Figure 2: a\n12 13\n\nkept 4\n  \nTable of contents"))) == "kept 4\nTable of contents"
+    assert get(L.without_noise_lines(F.lit("Figure 2: a\n12 13\n\nkept 4\n  \nTable of contents\r\n tables follow \na <PAD> b\ninput input-input  layer 5"))) == "kept 4\ntables follow"
+    for title, line, noise in [("Intro", "attention map of a", False), ("Self-attention", "attention map of a", True), ("Appendix B", "Attention maps", True), ("Intro", "attention weights", True), ("Intro", "attention and attention maps", True), ("Attention", "we pay attention", False)]:
+        assert get(L.noise_line(F.lit(line), F.lit(title))) is noise, (title, line)
     words = [F.lit(x) for x in ("reports", "F1", "0.9", "%", "COCO", "QA", "It wins")]
     assert get(L.edge_summary(*words, F.lit(True))) == "It wins - F1 0.9% on COCO" and get(L.edge_summary(*words, F.lit(False))) is None
     span = lambda a, b, m: get(L.span_in(F.lit("abcdef"), F.lit(a), F.lit(b), F.lit(m)))
