@@ -10,6 +10,11 @@ SNIPPET_CHARS = 400
 EDGES = r"^\s+|\s+$"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, also where body's lambdas use it for each of many elements."""
+    return F.transform(F.array(value), body)[0]
+
+
 def sanitize(t: Column) -> Column:
     """Without control characters but tab and newline, trimmed; an empty text is null."""
     clean = F.regexp_replace(t, r"[\x00-\x08\x0B-\x1F]", "")

@@ -7,6 +7,7 @@ import string
 from pyspark.sql import functions as F
 
 from quillgraph.operators import automaton as A
+from quillgraph.operators import dependency as P
 from quillgraph.operators import fuzzy as Z
 from quillgraph.operators import verify as C
 from quillgraph.plans.collect import collector
@@ -121,3 +122,58 @@ SELECT conv_id, claim, count(*)::BIGINT AS sentences, count(*) FILTER (exact)::B
 def quote_candidates(spark, sf):
     claims, sentences = _quotes(spark, sf)
     return C.evidence_candidates(claims, sentences, "conv_id", "claim", "turn")
+
+
+# ---- dependency patterns
+
+#: What stands for a parser: of each word of a turn a lemma, part of speech, dependency and parent, by its length and place.
+_LEMMAS = ["propose", "evaluate", "achieve", "for", "on", "accuracy", "report", "x"]
+_POS = ["NOUN", "PROPN", "ADJ", "NOUN", "VERB"]
+_DEPS = ["dobj", "nsubj", "prep", "pobj", "nsubj", "attr", "prep"]
+
+
+def _pick(words, n):
+    return F.element_at(F.array(*[F.lit(w) for w in words]), (n % len(words) + 1).cast("int"))
+
+
+def _tokens(spark, sf):
+    c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc"), "text")
+    w = c.select("doc", F.posexplode(F.split("text", " ")).alias("i", "word"), F.split("text", " ").alias("w"))
+    start = F.aggregate(F.slice("w", F.lit(1), F.col("i")), F.lit(0), lambda n, x: n + F.length(x) + 1)
+    k = F.length("word") * 3 + F.col("i") * 5 + (F.col("doc") % 7).cast("int")
+    t = w.select("doc", "i", start.alias("start"), "word", _pick(_LEMMAS, k).alias("lemma"), _pick(_POS, k + F.col("i")).alias("pos"), _pick(_DEPS, k + 1).alias("dep"), F.when(F.col("i") > 0, F.floor((F.col("i") - 1) / 3).cast("int")).alias("head"), (k % 11 == 4).alias("like_num"))
+    return t, c
+
+
+def _pattern_sql():
+    one = lambda p: f"('{p.rule}', {list(p.verbs)}, {list(p.noun_deps)}, {list(p.preps)}::VARCHAR[], {list(p.object_deps)}, {str(p.noun_object).lower()})"
+    return ", ".join(one(p) for p in P.PATTERNS)
+
+
+_PHRASE = "regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace({}, '\\[[^\\]]+\\]', ' ', 'g'), '\\s+', ' ', 'g')), '^(the|a|an)\\s+', '', 'i'), '^[ ,.;:]+|[ ,.;:]+$', '', 'g')"
+
+
+@query(
+    f"""WITH RECURSIVE c AS (SELECT conv_id * 1000 + turn AS doc, text, string_split(text, ' ') AS w FROM conversations),
+v AS (SELECT doc, w, unnest(range(1, len(w) + 1)) AS n FROM c), x AS (SELECT doc, (n - 1)::INTEGER AS i, w[n] AS word, coalesce(list_sum(list_transform(w[1:n - 1], lambda y: length(y) + 1)), 0)::INTEGER AS start, length(w[n]) * 3 + (n - 1) * 5 + doc % 7 AS k FROM v),
+t AS MATERIALIZED (SELECT doc, i, start, word, start + length(word) AS "end", {_LEMMAS}[k % {len(_LEMMAS)} + 1] AS lemma, {_POS}[(k + i) % {len(_POS)} + 1] AS pos, {_DEPS}[(k + 1) % {len(_DEPS)} + 1] AS dep, CASE WHEN i > 0 THEN (i - 1) // 3 END AS head, k % 11 = 4 AS num FROM x),
+up(doc, i, a) AS (SELECT doc, i, i FROM t UNION ALL SELECT up.doc, up.i, t.head FROM up JOIN t ON t.doc = up.doc AND t.i = up.a WHERE t.head IS NOT NULL),
+r AS MATERIALIZED (SELECT l.doc, l.a AS i, f.start AS s, e."end" AS e FROM (SELECT doc, a, min(i) AS lo, max(i) AS hi FROM up GROUP BY 1, 2) l JOIN t f ON f.doc = l.doc AND f.i = l.lo JOIN t e ON e.doc = l.doc AND e.i = l.hi),
+p(rule, verbs, nd, preps, od, nouns) AS (VALUES {_pattern_sql()}),
+m AS (SELECT v.doc, p.rule, v.lemma AS verb, n.i AS noun, o.i AS object FROM p JOIN t v ON list_contains(p.verbs, v.lemma) JOIN t n ON n.doc = v.doc AND n.head = v.i AND list_contains(p.nd, n.dep) AND n.pos IN ('NOUN', 'PROPN')
+  LEFT JOIN t q ON q.doc = v.doc AND q.head = v.i AND q.dep = 'prep' AND list_contains(p.preps, q.lemma)
+  JOIN t o ON o.doc = v.doc AND o.head = CASE WHEN len(p.preps) = 0 THEN v.i ELSE q.i END AND list_contains(p.od, o.dep) AND (NOT p.nouns OR o.pos IN ('NOUN', 'PROPN'))),
+z AS (SELECT doc, string_agg(CASE WHEN trim(word) = '' THEN 's' WHEN num THEN 'n' WHEN list_contains({P.UNIT_TOKENS}, lower(word)) THEN 'u' WHEN lower(word) = 'to' THEN 'o' ELSE 'x' END, '' ORDER BY i) AS numbers,
+  string_agg(CASE WHEN pos = 'ADJ' THEN 'a' WHEN pos IN ('NOUN', 'PROPN') THEN 'n' ELSE 'x' END, '' ORDER BY i) AS nouns, list(start ORDER BY i) AS ss, list("end" ORDER BY i) AS es FROM t GROUP BY 1),
+k AS (SELECT m.*, z.*, c.text, (SELECT min(t.i) FROM t WHERE t.doc = m.doc AND t.i BETWEEN object - {P.METRIC_REACH} AND object + {P.METRIC_REACH} AND (list_contains({P.METRICS}, t.lemma) OR list_contains({P.METRICS}, lower(t.word)))) AS mi,
+  length(rtrim(regexp_extract(numbers[object + 2:], '^([nus]|on)*'), 's')) AS more, a.s AS as_, a.e AS ae, b.s AS bs, b.e AS be FROM m JOIN z ON z.doc = m.doc JOIN c ON c.doc = m.doc JOIN r a ON a.doc = m.doc AND a.i = noun JOIN r b ON b.doc = m.doc AND b.i = object),
+g AS (SELECT *, text[as_ + 1:ae] AS subject, CASE WHEN rule = 'REPORTS' THEN text[ss[object + 1] + 1:es[object + 1 + more]] ELSE text[bs + 1:be] END AS own,
+  CASE WHEN rule = 'REPORTS' AND mi IS NOT NULL THEN text[ss[mi + 1 - length(regexp_extract(nouns[1:mi], '[an]*$'))] + 1:es[mi + 1 + length(regexp_extract(nouns[mi + 2:], '^n*'))]] END AS metric FROM k),
+f AS (SELECT *, coalesce(nullif({_PHRASE.format('subject')}, ''), trim(subject)) AS s, coalesce(nullif({_PHRASE.format('own')}, ''), trim(own)) AS o, coalesce(nullif({_PHRASE.format('metric')}, ''), trim(metric)) AS q FROM g)
+SELECT doc, rule, verb, s AS subject, CASE WHEN q IS NULL THEN o ELSE q || ' ' || o END AS object, CASE WHEN q IS NOT NULL THEN 'Metric' WHEN rule = 'PROPOSES' THEN 'Task' WHEN rule = 'EVALUATED_ON' THEN 'Dataset' ELSE 'Concept' END AS object_type,
+  CASE WHEN rule <> 'REPORTS' THEN {P.RULE} WHEN q IS NOT NULL THEN {P.WITH_METRIC} ELSE {P.WITHOUT_METRIC} END AS conf FROM f"""
+)
+def dependency_matches(spark, sf):
+    tokens, sentences = _tokens(spark, sf)
+    m = P.with_phrases(P.pattern_matches(P.sentence_trees(tokens, "doc")), sentences, "doc")
+    return m.select("doc", "rule", "verb", "subject", "object", "object_type", "conf")

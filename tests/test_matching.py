@@ -125,3 +125,34 @@ def test_near_quotes_equal_brute_force(spark):
     assert got == want
     count = verify.evidence_candidates(c, s, "paper", "claim", "line").agg(F.sum("sentences"), F.sum("exact"), F.sum("aligned")).first()
     assert tuple(count) == (len(pairs), sum(p["at"] is not None and p["at"] > 0 for p in pairs), sum(p["near"] for p in pairs))
+
+
+def parsed(doc, rows):
+    """(word, lemma, pos, dep, head) rows of a sentence whose words are parted by spaces."""
+    at, out = 0, []
+    for i, (word, lemma, pos, dep, head) in enumerate(rows):
+        out.append((doc, i, at, word, lemma, pos, dep, head, word.replace(".", "").isdigit()))
+        at += len(word) + 1
+    return out, (doc, " ".join(r[0] for r in rows))
+
+
+def test_relations_from_trees(spark):
+    from quillgraph.operators import dependency
+
+    proposes = [("We", "we", "PRON", "nsubj", 1), ("propose", "Propose", "VERB", "ROOT", 1), ("the", "the", "DET", "det", 3), ("AlphaNet", "alphanet", "PROPN", "dobj", 1), ("[3]", "3", "X", "punct", 3), ("for", "for", "ADP", "prep", 1), ("machine", "machine", "NOUN", "compound", 7), ("translation", "translation", "NOUN", "pobj", 5), (".", ".", "PUNCT", "punct", 1)]
+    reports = [("AlphaNet", "alphanet", "PROPN", "nsubj", 1), ("achieves", "achieve", "VERB", "ROOT", None), ("top", "top", "ADJ", "amod", 3), ("BLEU", "bleu", "PROPN", "nmod", 5), ("of", "of", "ADP", "prep", 3), ("28.4", "28.4", "NUM", "dobj", 1), ("to", "to", "PART", "x", 5), ("29", "29", "NUM", "x", 5), ("points", "point", "NOUN", "x", 5), ("now", "now", "ADV", "advmod", 1)]
+    plain = [("It", "it", "PRON", "nsubj", 1), ("yields", "yield", "VERB", "ROOT", None), ("7", "7", "NUM", "dobj", 1)]
+    other = [("Nets", "net", "NOUN", "nsubj", 1), ("reach", "reach", "VERB", "ROOT", None), ("7", "7", "NUM", "dobj", 1)]
+    tested = [("Our", "our", "PRON", "poss", 1), ("model", "model", "NOUN", "nsubjpass", 3), ("was", "be", "AUX", "aux", 3), ("tested", "test", "VERB", "ROOT", 3), ("on", "on", "ADP", "prep", 3), ("COCO", "coco", "PROPN", "pobj", 4)]
+    made = [parsed(k, rows) for k, rows in enumerate([proposes, reports, plain, other, tested])]
+    tokens = spark.createDataFrame([t for ts, _ in made for t in ts], "doc int, i int, start int, word string, lemma string, pos string, dep string, head int, like_num boolean")
+    sentences = spark.createDataFrame([s for _, s in made], "doc int, text string")
+    got = {r["doc"]: r for r in dependency.dependency_candidates(tokens, sentences, "doc").collect()}
+    told = {k: (r["rule"], r["verb"], r["subject"], r["object"], r["object_type"], r["conf"]) for k, r in got.items()}
+    assert told == {
+        0: ("PROPOSES", "propose", "AlphaNet", "machine translation", "Task", 72), 1: ("REPORTS", "achieve", "AlphaNet", "top BLEU 28.4 to 29 points", "Metric", 68),
+        3: ("REPORTS", "reach", "Nets", "7", "Concept", 64), 4: ("EVALUATED_ON", "test", "Our model", "COCO", "Dataset", 72),
+    }
+    text = made[1][1][1]
+    assert text[got[1]["object_span"]["start"] : got[1]["object_span"]["end"]] == "top BLEU of 28.4 to 29 points"
+    assert dependency.dependency_candidates(tokens.limit(0), sentences, "doc").count() == 0
