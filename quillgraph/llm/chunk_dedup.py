@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_batches, materialize, part_by_keys, read_table, release_memory, row_columns, salted_join, scratch_scope, text_of, thin, whole_row
+from .common import byte_batches, materialize, part_by_keys, read_table, release_memory, release_shuffles, row_columns, salted_join, scratch_scope, text_of, thin, whole_row
 
 WINDOW = 16
 #: A word start begins a piece with chance 1 / WORDS, unless another drawn one lies less than LEAST_BYTES before it.
@@ -135,6 +135,7 @@ def repeated_chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
     twice = all_chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1").select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
     twice = materialize(twice, "chunk-digests")
+    release_shuffles(docs.sparkSession)  # that of all digests is the largest
     met = salted_join(thin(all_chunks, twice, ["digest"]), twice, ["digest"], salts=8)
     met = met.withColumn("stays", ~F.col("again") & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")))
     lists = met.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "length", "first_id", "stays"))).alias("repeats"))
@@ -176,6 +177,7 @@ def cut_repeats(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WO
     """docs without the runs of repeated chunks; found_col, if given, gets a struct: spans (bytes of the text as it was) and repeat_of (doc_ids that keep them)."""
     with scratch_scope(docs.sparkSession):
         repeats = materialize(repeated_chunks(docs, text_col), "chunk-repeats", stays=True)
+    release_shuffles(docs.sparkSession)
     named = repeats.select(F.col("doc_id").alias("repeat_id"), F.col("text_hash").alias("repeat_hash"), "repeats")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     found_type = f"struct<spans:array<struct<start:int,end:int>>,repeat_of:array<{id_type}>>"

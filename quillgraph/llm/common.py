@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -82,6 +83,12 @@ def materialize(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Has the driver notice now that the shuffles of finished writes are no longer referred to, so that executors remove their files before the next large shuffle, not at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def byte_batches(spark: SparkSession) -> None:
     """Has Spark hand rows to Python in Arrow batches of BATCH_BYTES, as a batch of 10,000 long texts would fill a worker and its executor's
     buffers. Spark has no such setting for one query, so it holds for the session; a limit that the cluster or the caller has set stays."""

@@ -35,7 +35,7 @@ SMALLEST_TIER = 512
 STEP_WINDOWS = 8
 #: Tokens that a task gathers before it packs; bytes of text that are tokenized at a time.
 BUFFER_TOKENS = 1 << 20
-AT_A_TIME = 1 << 21
+AT_A_TIME = 1 << 20
 
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "context", "nth")
 

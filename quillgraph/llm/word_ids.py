@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_WORDS = 600_000
+MAX_WORDS = 300_000
 #: A character that makes a word, and a token, of its own; texts that hold it go to the library whole. Words of a run.
 MARK = "\x01"
 RUN = 256
