@@ -5,7 +5,7 @@ LONG_WORD bytes, at each character) whether a chunk begins there. Both that and
 insertion moves boundaries no further than itself, and equal passages fall into equal pieces wherever they stand.
 A chunk is SPAN pieces in a row, and one begins at each piece, so that chunks overlap: they are long enough not to be
 equal by chance, and the ends of a passage are found to a piece.
-Chunks are known by a BLAKE2b digest of 128 bits. Of equal chunks the first of the smallest doc_id stays, whole, also where repeated ones overlap it: so each chunk that
+Chunks are known by a BLAKE2b digest of 112 bits. Of equal chunks the first of the smallest doc_id stays, whole, also where repeated ones overlap it: so each chunk that
 texts have in common still stands in one of them. What is left of a run of repeated chunks of MIN_WORDS words or more is cut out, where a run counts as a word for each WORD_CHARS
 characters at least: so the measure holds for scripts without spaces too. A passage below it is no repeat.
 
@@ -40,6 +40,7 @@ MIN_WORDS = 20
 WORD_CHARS = 8
 LONG_WORD = 64
 AT_A_TIME = 1 << 20
+DIGEST_BYTES = 14
 
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 _BLANK = np.zeros(256, bool)
@@ -110,7 +111,7 @@ def chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 at, end = chunk_spans(np.frombuffer(text, np.uint8))
                 if not len(at):
                     continue
-                own = [hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(at.tolist(), end.tolist())]
+                own = [hashlib.blake2b(text[a:b], digest_size=DIGEST_BYTES).digest() for a, b in zip(at.tolist(), end.tolist())]
                 seen: set = set()
                 again += [d in seen or seen.add(d) is not None for d in own]
                 digests += own
@@ -132,12 +133,14 @@ def repeated_chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, text_hash and the sorted list of the chunks that it has in common with other texts, or twice: structs of start, length, first_id, stays (it is the first of them).
     Texts of which all such chunks stay are left out."""
     all_chunks = chunks(docs, text_col)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    twice = all_chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1").select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    # half of the hash tells texts of one doc_id apart here: two that agree in it both keep the chunk
+    half = F.shiftright("text_hash", 32).cast("int")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", half.alias("half"))).alias("first")
+    twice = all_chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1").select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.half").alias("first_hash"))
     twice = materialize(twice, "chunk-digests")
     release_shuffles(docs.sparkSession)  # that of all digests is the largest
     met = salted_join(thin(all_chunks, twice, ["digest"]), twice, ["digest"], salts=8)
-    met = met.withColumn("stays", ~F.col("again") & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")))
+    met = met.withColumn("stays", ~F.col("again") & F.col("doc_id").eqNullSafe(F.col("first_id")) & (half == F.col("first_hash")))
     lists = met.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "length", "first_id", "stays"))).alias("repeats"))
     return lists.filter(F.exists("repeats", lambda r: ~r["stays"]))
 
