@@ -66,12 +66,11 @@ def _lexicon(spark, sf):
 
 
 @query(
-    f"""WITH {_LEX_SQL}, l AS (SELECT DISTINCT name, alias, lower(alias) AS a FROM lex), d AS (SELECT doc_id, text, lower(text) AS t FROM documents WHERE text IS NOT NULL),
-m AS (SELECT doc_id, text, name, alias, a, string_split(t, a) AS p FROM d JOIN l ON contains(t, a)),
-o AS (SELECT *, unnest(range(1, len(p))) AS i FROM m),
-x AS (SELECT doc_id, text, name, alias, length(a) AS n, list_sum(list_transform(p[1:i], lambda y: length(y))) + (i - 1) * length(a) AS s,
-  CASE WHEN p[i] <> '' THEN right(p[i], 1) WHEN i > 1 THEN right(a, 1) ELSE '' END AS before, CASE WHEN p[i + 1] <> '' THEN left(p[i + 1], 1) WHEN i + 1 < len(p) THEN left(a, 1) ELSE '' END AS after FROM o)
-SELECT doc_id, name, alias, s::INTEGER AS start, (s + n)::INTEGER AS "end", substr(text, s::BIGINT + 1, n) AS mention FROM x WHERE NOT regexp_matches(before, '[a-z0-9]') AND NOT regexp_matches(after, '[a-z0-9]')"""
+    f"""WITH RECURSIVE {_LEX_SQL}, l AS (SELECT DISTINCT name, alias, lower(alias) AS a FROM lex), d AS (SELECT doc_id, text, lower(text) AS t FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, text, t, name, alias, a FROM d JOIN l ON contains(t, a)),
+o(doc_id, text, t, name, alias, a, s) AS (SELECT *, strpos(t, a) FROM m UNION ALL SELECT doc_id, text, t, name, alias, a, s + strpos(t[s + 1:], a) FROM o WHERE strpos(t[s + 1:], a) > 0)
+SELECT doc_id, name, alias, (s - 1)::INTEGER AS start, (s - 1 + length(a))::INTEGER AS "end", substr(text, s, length(a)) AS mention FROM o
+WHERE NOT (s > 1 AND regexp_matches(substr(t, s - 1, 1), '[a-z0-9]')) AND NOT regexp_matches(substr(t, s + length(a), 1), '[a-z0-9]')"""
 )
 def alias_places(spark, sf):
     return A.alias_places(table(spark, sf, "documents"), _lexicon(spark, sf), "doc_id", "text")
