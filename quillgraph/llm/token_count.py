@@ -4,11 +4,12 @@ The pre-tokenizer of the byte-level BPE files is compiled to a deterministic tra
 a transition says whether a pretoken begins at the current or (after a character of look-ahead) at the previous
 character. A block of text is cut into chunks; all chunks are run in step from every state at once, which gives
 each chunk's state map; the maps compose through a parallel prefix scan, which gives each chunk's entry state;
-a last run from those states reads off the boundaries. A second transducer runs over pretokens: its
-transitions carry the number of tokens that each pretoken emits, and are compiled when first taken.
+a last run from those states reads off the boundaries. A second transducer, compiled from the merges, runs over each
+pretoken's bytes: its transitions carry the tokens that they emit (merge_transducer.py). What a whole pretoken emits is
+kept for the next time it comes.
 
-Classes of characters outside ASCII are asked of the library's own pre-tokenizer, once for each character. So counts equal
-the library's. Memory is bounded: blocks of BLOCK characters, a transition table of MAX_TRANSITIONS.
+Classes of characters outside ASCII are asked of the library's own pre-tokenizer, once for each character; counts are not
+asked of it. Memory is bounded: blocks of BLOCK characters, a table of MAX_TRANSITIONS pretokens, MAX_STATES of the merges.
 
 Defined results: a null or empty text has 0 tokens; the string of an added token counts as that token, as the
 library does by default; repeated rows are counted one by one; a very long text is read whole, block by block; an empty table gives no rows; there is no shuffle, and other columns are not read.
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import byte_batches, read_table, slices, text_of
+from .merge_transducer import MergeTransducer
 
 BLOCK = 1 << 20
 CHUNK = 128
@@ -73,6 +75,7 @@ class Counter:
         self.split = self.tok.pre_tokenizer.pre_tokenize_str
         self.added = sorted((t.content for t in self.tok.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.table = compile_transducer()
+        self.merges = MergeTransducer(path)
         self.classes = np.full(0x110000, UNKNOWN, np.uint8)
         self.learn(np.arange(128, dtype=np.uint32))
         self.emits: dict[str, int] = {}
@@ -122,16 +125,16 @@ class Counter:
         return np.flatnonzero(begins)
 
     def emitted(self, words: list[str]) -> np.ndarray:
-        """What the transition of each pretoken emits; compiles those not taken before."""
+        """What each pretoken emits; those not kept run through the merges' transducer."""
         if len(self.emits) > MAX_TRANSITIONS:
             self.emits = {}
         get = self.emits.get
         out = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
         missing = np.flatnonzero(out < 0)
         if len(missing):
-            new = list(dict.fromkeys(words[i] for i in missing.tolist()))
-            encoded = self.tok.encode_batch_fast(new, add_special_tokens=False)
-            self.emits.update(zip(new, map(len, encoded)))
+            for i in missing.tolist():
+                if (word := words[i]) not in self.emits:
+                    self.emits[word] = self.merges.count(word)
             out[missing] = [get(words[i]) for i in missing.tolist()]
         return out
 

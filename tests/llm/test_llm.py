@@ -14,7 +14,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import chunk_dedup, exact, license_scan, line_templates, packing, quality, registry, sentencepiece_codec, shingle_join, token_count, warc
+from quillgraph.llm import chunk_dedup, exact, license_scan, line_templates, merge_transducer, packing, quality, registry, sentencepiece_codec, shingle_join, token_count, warc
 
 #: Columns that the operators use themselves.
 CLASHING = "group digest rep own n row repeats found spans repeat_of new_text text_hash lines masked leaf t1 c1 place_id n_words rejected_by quality_features first id _id _hash _text _salt word bits context task nth header payload sha256".split()
@@ -87,6 +87,35 @@ def test_boundaries_on_random_strings_and_blocks(monkeypatch):
     assert c.count(long).tolist() == [len(tok.encode(t, add_special_tokens=False)) for t in long]
 
 
+def test_merges_give_the_librarys_counts(monkeypatch):
+    tok, r = byte_bpe(), random.Random(5)
+    m = merge_transducer.MergeTransducer(P.path("byte_bpe_50k.json"))
+    split = tok.pre_tokenizer.pre_tokenize_str
+    parts = ["the", "ing", "ation", "str", "un", "ss", "aa", "ll", " in"]
+    words = ["".join(r.choice("abdeinorst") for _ in range(r.randint(1, 30))) for _ in range(4000)]
+    words += [c * n for c in "a-=_*!. 0ё" for n in (1, 2, 3, 5, 8, 17, 64, 65, 129, 200)]
+    words += ["".join(chr(r.choice([0x4E00, 0x400, 0xE0, 0x1F600]) + r.randint(0, 60)) for _ in range(r.randint(1, 12))) for _ in range(2000)]
+    words += ["".join(r.choice(parts) for _ in range(r.randint(1, 7))) for _ in range(4000)]
+    words += list(tok.get_vocab())  # among them the byte-level spellings, which are texts of their own
+    words += ["".join(r.choice("abdeinorst") for _ in range(20_000)), ""]
+    words = [w for w in words if len(split(w)) <= 1]
+    want = [len(e) for e in tok.encode_batch_fast(words, add_special_tokens=False)]
+    assert [(w, m.count(w)) for w in words] == list(zip(words, want))
+    monkeypatch.setattr(merge_transducer, "MAX_STATES", 50)  # tables begun anew, inside of long pretokens too
+    assert [m.count(w) for w in words[:300]] == want[:300]
+    long = ["".join(r.choice("abdeinorst") for _ in range(2_000)) for _ in range(3)]
+    assert [m.count(w) for w in long] == [len(tok.encode(w, add_special_tokens=False)) for w in long]
+
+
+def test_merges_out_of_order_are_an_error(tmp_path):
+    import json
+
+    file = tmp_path / "t.json"
+    file.write_text(json.dumps({"model": {"vocab": {"ab": 0, "abc": 1}, "merges": [["ab", "c"], ["a", "b"]]}}))
+    with pytest.raises(ValueError, match="no earlier merge"):
+        merge_transducer.MergeTransducer(str(file))
+
+
 def unigram_model():
     """The model file with its kind set to unigram, whose paths must not beat ours."""
     import sentencepiece
