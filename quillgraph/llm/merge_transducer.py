@@ -67,6 +67,7 @@ class MergeTransducer:
         self.states: list[tuple[str, tuple, tuple]] = []
         self.number: dict[tuple, int] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.ends: dict[str, tuple] = {}
         self.state(("", ("",), (0,)))
 
     def state(self, key: tuple) -> int:
@@ -75,22 +76,31 @@ class MergeTransducer:
             self.states.append(key)
         return n
 
-    def follows(self, token: str, last: str) -> bool:
-        if not last:
-            return True  # a pretoken begins
-        got = self.pairs.get((last, token))
-        if got is None:
-            got = self.pairs[last, token] = self.apart(last, token)
-        return got
+    def endings(self, seen: str) -> tuple[list[tuple[int, str]], int]:
+        """Tokens at the end of a text with their places, longest first, and where its longest end that begins a token starts."""
+        places = [(i, seen[i:]) for i in range(len(seen)) if seen[i:] in self.tokens]
+        return places, next(i for i in range(len(seen) + 1) if seen[i:] in self.heads)
 
     def compile(self, state: int, byte: int) -> int:
         """The transition from a state over a byte."""
         head, lasts, counts = self.states[state]
         seen = head + chr(byte)
-        at = next(i for i in range(len(seen)) if seen[i:] in self.tokens and self.follows(seen[i:], lasts[i]))
+        ends = self.ends.get(seen)
+        if ends is None:
+            ends = self.ends[seen] = self.endings(seen)
+        places, keep = ends
+        pairs = self.pairs
+        for at, token in places:
+            last = lasts[at]
+            if not last:  # a pretoken begins
+                break
+            apart = pairs.get((last, token))
+            if apart is None:
+                apart = pairs[last, token] = self.apart(last, token)
+            if apart:
+                break
         change = counts[at] + 1
-        keep = next(i for i in range(len(seen) + 1) if seen[i:] in self.heads)
-        key = (seen[keep:], (*lasts, seen[at:])[keep:], (*(c - change for c in counts), 0)[keep:])
+        key = (seen[keep:], (*lasts[keep:], token), (*[c - change for c in counts[keep:]], 0))
         move = self.state(key) << 9 | change + 256
         self.moves[state << 8 | byte] = move
         return move
