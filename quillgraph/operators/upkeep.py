@@ -50,6 +50,7 @@ class KeptUp:
     """The stored counts and the aggregates that are read."""
 
     def __init__(self, spark, path: str, buckets: int = 32):
+        self.spark, self.path = spark, path
         self.counts = Store(spark, f"{path}/counts", "key", COUNTS, buckets)
         self.totals = Store(spark, f"{path}/totals", "key", AGGREGATES, buckets)
 
@@ -58,10 +59,15 @@ class KeptUp:
         last = self.counts.read().agg(F.max("change")).first()[0]
         if last is not None and number < last:
             raise ValueError(f"change set {number} comes after {last}")
-        delta = net(changes, sign)
+        delta = self._written(net(changes, sign), f"delta/{number}")
         keys = delta.select("key").distinct()
         self.counts.change(keys, lambda old: added(old, delta, number))
-        self.totals.replace(aggregates(self.counts.of_keys(keys)), keys)
+        self.totals.replace(self._written(aggregates(self.counts.of_keys(keys)), f"renewed/{number}"), keys)
+
+    def _written(self, rows: DataFrame, name: str) -> DataFrame:
+        """rows, computed once: they are read several times."""
+        rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}")
 
     def read(self) -> DataFrame:
         return self.totals.read()
