@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 
-MAX_STATES = 100_000
+MAX_STATES = 300_000
 NEVER = 1 << 60
 
 
@@ -45,6 +45,9 @@ class MergeTransducer:
         if missing := [b for b in range(256) if chr(b) not in self.tokens]:
             raise ValueError(f"{path}: no token for the bytes {missing}")
         self.heads = {t[:n] for t in self.tokens for n in range(len(t) + 1)}
+        # what is known of neighbours and of ends outlives a table of states
+        self.pairs: dict[tuple[str, str], bool] = {}
+        self.ends: dict[str, tuple] = {}
         self.begin()
 
     def apart(self, a: str, b: str, until: int = NEVER) -> bool:
@@ -66,8 +69,10 @@ class MergeTransducer:
         self.moves: dict[int, int] = {}  # state * 256 + byte -> next state * 512 + change of the count + 256
         self.states: list[tuple[str, tuple, tuple]] = []
         self.number: dict[tuple, int] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.ends: dict[str, tuple] = {}
+        if len(self.pairs) > 2 * MAX_STATES:
+            self.pairs = {}
+        if len(self.ends) > 2 * MAX_STATES:
+            self.ends = {}
         self.state(("", ("",), (0,)))
 
     def state(self, key: tuple) -> int:
