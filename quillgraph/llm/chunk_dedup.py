@@ -10,7 +10,7 @@ texts have in common still stands in one of them. What is left of a run of repea
 characters at least: so the measure holds for scripts without spaces too. A passage below it is no repeat.
 
 A passage of 50 words keeps MIN_WORDS words and more in whole chunks (its ends lie in pieces that reach beyond it), while
-phrases that texts have in common by chance are shorter. Counts are taken map-side; hot digests are split in the
+phrases that texts have in common by chance are shorter. Counts are taken map-side, of prints first; hot digests are split in the
 join; only texts of documents that may lose something are shuffled.
 
 Defined results: a null text is empty and has no chunk; of repeated rows with one doc_id and text all are the first; of texts with one doc_id
@@ -40,7 +40,9 @@ MIN_WORDS = 20
 WORD_CHARS = 8
 LONG_WORD = 64
 AT_A_TIME = 1 << 20
-DIGEST_BYTES = 14
+#: A digest is 64 bits, which serve as its print, and these.
+REST_BITS = 48
+DIGEST = ["print", "rest"]
 
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 _BLANK = np.zeros(256, bool)
@@ -88,58 +90,80 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.col("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
 
 
+def _cut(batch: pa.RecordBatch):
+    """(row, starts, ends, digests) of each text of a batch, of about AT_A_TIME bytes of text at a time."""
+    own, size = [], 0
+    for i, text in enumerate(batch.column("text")):
+        text = text.as_py()
+        at, end = chunk_spans(np.frombuffer(text, np.uint8))
+        if len(at):
+            own.append((i, at, end, [hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(at.tolist(), end.tolist())]))
+            size += len(text)
+        if size >= AT_A_TIME:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
+
+
+def _numbers(own: list) -> np.ndarray:
+    """Two numbers for each chunk: 64 bits of its digest, and REST_BITS more."""
+    return np.frombuffer(b"".join(d for *_, digests in own for d in digests), "<i8").reshape(-1, 2) & np.array([-1, (1 << REST_BITS) - 1])
+
+
+def chunk_prints(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The print of each chunk, and no more: what a first count of equal chunks has to send."""
+    byte_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for own in _cut(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(_numbers(own)[:, 0]))], ["print"])
+        release_memory()
+
+    return docs.select(text_of(text_col).cast("binary").alias("text")).mapInArrow(run, "print bigint")
+
+
 def chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, start, length, digest of each chunk; again: an equal chunk stands before it in the same text."""
+    """doc_id, text_hash, start, length, print and rest (the digest) of each chunk; again: an equal chunk stands before it in the same text."""
     byte_batches(docs.sparkSession)
     source = _keyed(docs, text_col)
     id_type = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            rows, starts, lengths, digests, again = [], [], [], [], []
-
-            def out():
-                row = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-                return pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(row), batch.column("text_hash").take(row), *(pa.array(np.concatenate(x) if x else np.zeros(0), pa.int32()) for x in (starts, lengths)), pa.array(digests, pa.binary()), pa.array(again, pa.bool_())],
-                    ["doc_id", "text_hash", "start", "length", "digest", "again"],
+            for own in _cut(batch):
+                rows, starts, ends, _ = zip(*own)
+                row = pa.array(np.repeat(rows, [len(at) for at in starts]))
+                again = []
+                for *_, digests in own:
+                    seen: set = set()
+                    again += [d in seen or seen.add(d) is not None for d in digests]
+                at, numbers = np.concatenate(starts), np.asfortranarray(_numbers(own))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(row), batch.column("text_hash").take(row), pa.array(at, pa.int32()), pa.array(np.concatenate(ends) - at, pa.int32()), pa.array(numbers[:, 0]), pa.array(numbers[:, 1]), pa.array(again, pa.bool_())],
+                    ["doc_id", "text_hash", "start", "length", *DIGEST, "again"],
                 )
-
-            size = 0
-            for i, text in enumerate(batch.column("text")):
-                text = text.as_py()
-                at, end = chunk_spans(np.frombuffer(text, np.uint8))
-                if not len(at):
-                    continue
-                own = [hashlib.blake2b(text[a:b], digest_size=DIGEST_BYTES).digest() for a, b in zip(at.tolist(), end.tolist())]
-                seen: set = set()
-                again += [d in seen or seen.add(d) is not None for d in own]
-                digests += own
-                rows.append(np.full(len(at), i))
-                starts.append(at)
-                lengths.append(end - at)
-                size += len(text)
-                if size >= AT_A_TIME:
-                    yield out()
-                    rows, starts, lengths, digests, again, size = [], [], [], [], [], 0
-            if rows:
-                yield out()
         release_memory()
 
-    return source.mapInArrow(run, f"doc_id {id_type}, text_hash bigint, start int, length int, digest binary, again boolean")
+    return source.mapInArrow(run, f"doc_id {id_type}, text_hash bigint, start int, length int, print bigint, rest bigint, again boolean")
 
 
 def repeated_chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, text_hash and the sorted list of the chunks that it has in common with other texts, or twice: structs of start, length, first_id, stays (it is the first of them).
-    Texts of which all such chunks stay are left out."""
-    all_chunks = chunks(docs, text_col)
+    Texts of which all such chunks stay are left out.
+
+    All chunks are counted by their prints alone; whole digests, with the places of their chunks, are written and shuffled only of prints that occur twice."""
+    spark = docs.sparkSession
+    prints = chunk_prints(docs, text_col).groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print")
+    prints = materialize(prints, "chunk-prints")
+    release_shuffles(spark)  # that of all prints is the largest
+    some = materialize(thin(chunks(docs, text_col), prints, ["print"]), "chunk-digests")
     # half of the hash tells texts of one doc_id apart here: two that agree in it both keep the chunk
     half = F.shiftright("text_hash", 32).cast("int")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", half.alias("half"))).alias("first")
-    twice = all_chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1").select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.half").alias("first_hash"))
-    twice = materialize(twice, "chunk-digests")
-    release_shuffles(docs.sparkSession)  # that of all digests is the largest
-    met = salted_join(thin(all_chunks, twice, ["digest"]), twice, ["digest"], salts=8)
+    twice = some.groupBy(*DIGEST).agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1").select(*DIGEST, F.col("first.doc_id").alias("first_id"), F.col("first.half").alias("first_hash"))
+    met = salted_join(some, twice, DIGEST, salts=8)
     met = met.withColumn("stays", ~F.col("again") & F.col("doc_id").eqNullSafe(F.col("first_id")) & (half == F.col("first_hash")))
     lists = met.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "length", "first_id", "stays"))).alias("repeats"))
     return lists.filter(F.exists("repeats", lambda r: ~r["stays"]))
