@@ -15,7 +15,7 @@ from quillgraph.operators import resolve as R
 from quillgraph.operators import search as V
 from quillgraph.operators import segment as G
 from quillgraph.operators import tables as S
-from quillgraph.plans import evidence_queries, matching_queries, metadata_queries, record_queries, section_queries, store_queries, upkeep_queries
+from quillgraph.plans import evidence_queries, matching_queries, metadata_queries, record_queries, response_queries, section_queries, store_queries, tier_queries, upkeep_queries
 from quillgraph.plans.adapt import AS_OF_YEAR, EVIDENCE_SQL, RESULTS_SQL, entities, evidence, results
 from quillgraph.plans.collect import collector
 from quillgraph.sources.readers import table
@@ -463,7 +463,7 @@ def replace_for_paper(spark, sf):
     return S.replace_for_key(li.select("l_orderkey", "l_linenumber", "l_quantity"), new, "l_orderkey")
 
 
-QUERIES |= evidence_queries.QUERIES | metadata_queries.QUERIES | section_queries.QUERIES | record_queries.QUERIES | matching_queries.QUERIES | store_queries.QUERIES | upkeep_queries.QUERIES
+QUERIES |= evidence_queries.QUERIES | metadata_queries.QUERIES | section_queries.QUERIES | record_queries.QUERIES | matching_queries.QUERIES | store_queries.QUERIES | upkeep_queries.QUERIES | response_queries.QUERIES | tier_queries.QUERIES
 
 
 def queries() -> dict:
