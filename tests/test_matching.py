@@ -156,3 +156,22 @@ def test_relations_from_trees(spark):
     text = made[1][1][1]
     assert text[got[1]["object_span"]["start"] : got[1]["object_span"]["end"]] == "top BLEU of 28.4 to 29 points"
     assert dependency.dependency_candidates(tokens.limit(0), sentences, "doc").count() == 0
+
+
+def test_entities_of_one_look_are_scored_once(spark):
+    """Pairs of copies are made, each once, but neither names nor vectors are compared again for them."""
+    rows = [(i, ["one", "two", None][i % 3], [float(i % 2), 1.0] if i % 5 else None) for i in range(60)]
+    e = spark.createDataFrame(rows, "id long, name string, vector array<double>").withColumn("aliases", F.array().cast("array<string>"))
+    by_name = e.filter("name IS NOT NULL").select("id", F.concat(F.lit("name "), "name").alias("key"))
+    others = spark.createDataFrame([(i, f"p{i % 7}") for i in range(60)] + [(i, "p0") for i in range(0, 60, 10)] + [(1, None)], "id long, key string")
+    own = fuzzy.looks(e)
+    pairs = fuzzy.blocked_pairs(others, own.select("id", "look").join(by_name, "id", "left"))
+    plain = fuzzy.blocked_pairs(by_name.unionByName(others))
+    got = sorted(tuple(r) for r in pairs.select("left_id", "right_id").collect())
+    assert got == sorted(tuple(r) for r in plain.collect()) and len(got) == len(set(got)) > 500
+    scores = fuzzy.look_scores(pairs, own, e)
+    assert scores.count() == pairs.select("left_look", "right_look").distinct().count() <= own.select("look").distinct().count() ** 2 == 81
+    fast, slow = (sorted(tuple(r) for r in fuzzy.scored_entities(p, e).collect()) for p in (pairs, plain))
+    assert fast == slow and len(fast) == len(got)
+    want = {(a[0], b[0]): round(0.4 * ((a[1] or "") == (b[1] or "") and a[1] is not None or jaro_winkler_of(a[1] or "", b[1] or "")) + (0.6 if a[2] == b[2] and a[2] else 0.6 * 0.5**0.5 if a[2] and b[2] else 0), 6) for a in rows for b in rows}
+    assert all(score == pytest.approx(want[a, b], abs=2e-6) for a, b, score in fast)
