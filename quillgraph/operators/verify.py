@@ -13,6 +13,8 @@ from pyspark.sql.functions import pandas_udf
 from quillgraph.functions import text as X
 
 LEAST_BLOCK, BLOCK_SHARE, LEAST_RATIO = 5, 0.6, 0.75
+#: What text.number_spellings() may give of a finite number: no leading zeros, four decimals at most without trailing zeros, a per cent sign perhaps.
+SPELLING = r"^-?(?:0|[1-9][0-9]*)(?:[.,][0-9]{0,3}[1-9])?(?: ?%)?$"
 
 
 def near_span(sentence: str | None, quote: str | None) -> dict | None:
@@ -104,12 +106,17 @@ def table_matches(measures: DataFrame, cells: DataFrame, section: str, measure_i
 
     A spelling is made of figures, signs, points and per cents, so it stands within a run of these; the parts of the runs meet the spellings in
     an equi-join on (section, spelling). No measure is paired with a cell that does not hold it. Parts have up to `longest` characters:
-    a spelling of a double with four decimals has fewer up to 10^16.
+    a spelling of a double with four decimals has fewer up to 10^16. Only parts in the form of a spelling (SPELLING), each once a cell, are rows.
     """
-    runs = F.regexp_extract_all("cell", F.lit(r"[0-9.,%\- ]+"), F.lit(0))
-    c = cells.withColumn("run", F.explode(F.array_distinct(runs))).withColumn("n", F.length("run"))
-    c = c.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("i") + 1))))
-    parts = c.select(section, "table_id", "row", "col", F.substring("run", F.col("i"), F.col("k")).alias("part"))
+    runs = F.filter(F.regexp_extract_all("cell", F.lit(r"[0-9.,%\- ]+"), F.lit(0)), lambda x: x.rlike("[0-9]"))
+
+    def spelled_parts(run: Column) -> Column:
+        places = F.sequence(F.lit(1), F.length(run))
+        of = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(run) - i + 1)), lambda k: F.substring(run, i, k))
+        begins = F.filter(places, lambda i: F.substring(run, i, F.lit(1)).rlike("[0-9-]"))
+        return F.flatten(F.transform(begins, lambda i: F.filter(of(i), lambda x: x.rlike(SPELLING))))
+
+    parts = cells.select(section, "table_id", "row", "col", F.explode(F.array_distinct(F.flatten(F.transform(runs, spelled_parts)))).alias("part"))
     first = parts.groupBy(section, "part").agg(F.min(F.struct("table_id", "row", "col")).alias("at"))
     spelled = measures.select(section, measure_id, F.explode(X.number_spellings(F.col("value"))).alias("part"))
     found = spelled.join(first, [section, "part"]).groupBy(section, measure_id).agg(F.min("at").alias("at"))

@@ -1,5 +1,9 @@
 """What a task holds does not grow with the tables."""
 
+from pyspark.sql import functions as F
+
+from quillgraph.functions import text as X
+from quillgraph.operators import segment, structure, verify
 from quillgraph.sources import readers
 
 
@@ -13,3 +17,41 @@ def test_shuffles_begin_with_many_parts(spark, sf_dir):
         assert spark.conf.get(readers.INITIAL_KEY) == "7"
     finally:
         spark.conf.unset(readers.INITIAL_KEY)
+
+
+def test_parts_of_cells_are_numbers_only(spark):
+    """Each value finds the first cell that holds it, and few of a cell's parts are rows."""
+    cell = "a 1.17% of -20,5 or 0.0450 and 300 % x 12345678901234.5"
+    cells = spark.createDataFrame([(1, 0, r, 1, c) for r, c in enumerate([cell, "7", None, ""])], "section long, table_id int, row int, col int, cell string")
+    values = [1.17, 17.0, -20.5, 20.5, 0.045, 0.0, 300.0, 30.0, 45.0, 12345678901234.5, 7.0, 99.0]
+    measures = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "section long, m int, value double")
+    found = verify.table_matches(measures, cells, "section", "m")
+    assert {r["m"]: r["row"] for r in found.collect()} == {i: 0 for i in range(11)}
+    spelled = r"^-?(?:0|[1-9][0-9]*)(?:[.,][0-9]{0,3}[1-9])?(?: ?%)?$"
+    assert verify.SPELLING == spelled
+    odd = [0.0, -0.0, -0.00001, 1e15, 123.4567, 100.0, -5.5, 0.1, 1e-3, 99999.99999]
+    df = spark.createDataFrame([(v,) for v in odd], "v double").select(F.explode(X.number_spellings(F.col("v"))).alias("s"))
+    assert df.filter(~F.col("s").rlike(verify.SPELLING)).count() == 0
+
+
+def test_pages_are_walked_in_small_batches(spark):
+    html = "<div>" + "<p>some text</p>" * 3000 + "</div>"
+    pages = spark.createDataFrame([(i, html if i % 2 else None) for i in range(40)], "page_id long, html string").coalesce(1)
+    nodes = structure.html_nodes(pages)
+    assert nodes.count() == 20 * 3001 and nodes.groupBy("page_id").count().count() == 20
+    old, structure.OUT_BYTES = structure.OUT_BYTES, 1000
+    try:
+        few = structure.html_nodes(pages.filter("page_id < 4"))
+        sizes = few.mapInArrow(lambda bs: bs, few.schema).count()
+        assert sizes == 2 * 3001
+    finally:
+        structure.OUT_BYTES = old
+    assert int(spark.conf.get(readers.BATCH_KEY).rstrip("bB")) <= readers.BATCH_BYTES
+
+
+def test_sentences_of_short_and_long_texts_agree(spark):
+    texts = ["", None, "..!", "?. A b. \U0001f600 c!? d", "x", " . . ", "One. Two.\n\nThree", "a. " * 100, "é. " * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in segment.sentences(docs).collect())
+    want = [(d, i, m.group().strip(), m.start()) for d, t in enumerate(texts) for i, m in enumerate(segment.RUN.finditer(t or "")) if m.group().strip()]
+    assert got == want
