@@ -9,14 +9,19 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from quillgraph.sources.readers import byte_batches
+
 #: Elements that have no content.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 PARAGRAPH_CHARS = 350
-NODE = "struct<ordinal:int,parent:int,depth:int,tag:string,text:string>"
+NODE = {"ordinal": pa.int32(), "parent": pa.int32(), "depth": pa.int32(), "tag": pa.string(), "text": pa.string()}
+#: What a node takes in Python besides its text, and what rows are handed on at.
+NODE_BYTES, OUT_BYTES = 400, 4 << 20
 
 
 class _Tree(HTMLParser):
@@ -66,12 +71,30 @@ def paragraph_spans(text: str | None, least: int = PARAGRAPH_CHARS) -> list[dict
 
 
 def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """A row for each element: ordinal in document order, its parent's, depth, tag and own text."""
-
-    def walk(html: pd.Series) -> pd.Series:
-        return pd.Series([html_tree(x) for x in html], dtype=object)
-
-    return pages.select(id_col, F.inline(pandas_udf(walk, f"array<{NODE}>")(html_col)))
+    """A row for each element: ordinal in document order, its parent's, depth, tag and own text. A worker holds one page's tree and OUT_BYTES of finished rows besides its batch."""
+    byte_batches(pages.sparkSession)
+    source = pages.select(id_col, html_col)
+
+    def walk(batches):
+        for batch in batches:
+            ids, html = batch.column(0), batch.column(1)
+            at, rows, size = [], [], 0
+
+            def finished():
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *(pa.array([n[c] for n in rows], t) for c, t in NODE.items())], [id_col, *NODE])
+
+            for k in range(len(html)):
+                for n in html_tree(html[k].as_py()):
+                    at.append(k)
+                    rows.append(n)
+                    size += NODE_BYTES + len(n["text"])
+                    if size >= OUT_BYTES:
+                        yield finished()
+                        at, rows, size = [], [], 0
+            if at:
+                yield finished()
+
+    return source.mapInArrow(walk, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, ordinal int, parent int, depth int, tag string, text string")
 
 
 def heading_sections(nodes: DataFrame, id_col: str = "page_id") -> DataFrame:
