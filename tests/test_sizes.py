@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
-from quillgraph.operators import segment, structure, verify
+from quillgraph.operators import linking, segment, structure, verify
 from quillgraph.sources import readers
 
 
@@ -55,3 +55,16 @@ def test_sentences_of_short_and_long_texts_agree(spark):
     got = sorted(tuple(r) for r in segment.sentences(docs).collect())
     want = [(d, i, m.group().strip(), m.start()) for d, t in enumerate(texts) for i, m in enumerate(segment.RUN.finditer(t or "")) if m.group().strip()]
     assert got == want
+
+
+def test_links_of_papers_of_few_and_many_keys_agree(spark, monkeypatch):
+    """Both ways of looking up a paper's keys give the same links, and words are rows for crowded papers only."""
+    e = spark.createDataFrame([(p, i, k, s, t, False) for p in (1, 2) for i, (k, s, t) in enumerate([("alpha beta", "s", 5), ("beta", "s", 90), ("a b c d", "s", 3), ("no", "s", 1)])], "paper long, ordinal int, key string, section string, start int, in_table boolean")
+    around = ["On Alpha-Beta it", "betas", "a b c d", "no one", None, "the beta", "alpha beta gamma beta"]
+    r = spark.createDataFrame([(p, f"{p}-{i}", "s", 10 * i, a) for p in (1, 2, 3) for i, a in enumerate(around)], "paper long, id string, section string, pos int, around string")
+    got = []
+    for many in (64, 3, 0):
+        monkeypatch.setattr(linking, "MANY", many)
+        got.append(sorted(map(tuple, linking.link_results(r, e).collect())))
+    assert got[0] == got[1] == got[2]
+    assert ("1-0", 0, "named") in got[0] and ("1-5", 1, "named") in got[0] and ("1-6", 0, "named") in got[0] and ("1-2", 3, "near") not in got[0][:1] and ("3-0", 0, "near") in got[0]
