@@ -8,6 +8,7 @@ a kind for each task, and no list is longer than the cap. An empty table gives n
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +21,10 @@ EDGE = ["relation", "source", "target"]
 #: Fixed value: as many items of a kind an edge shows.
 CAP = 12
 KINDS = ["insights", "evidence", "statements"]
+#: Results of a method beyond which its edges are cut by each task before they are shuffled, so that no task holds all of them.
+CROWDED = 400_000
+#: Results that a task takes on average when they are dealt by method.
+DEALT = 200_000
 
 
 def _place(order: list[str]) -> Column:
@@ -31,10 +36,13 @@ def _capped(items: DataFrame, most: int) -> DataFrame:
     return items.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select(*EDGE, "kind", "rank", "paper_id", "text", "conf")
 
 
+def _said(unit: str | None) -> Column:
+    return edge_summary(F.col("relation"), F.col("metric_id"), F.col("value_cents").cast("string"), F.lit(unit or ""), F.col("dataset_id"), F.col("task_id"), F.col("claim"), F.col("verified"))
+
+
 def insights(instances: DataFrame, order: list[str], unit: str | None = None, most: int = CAP) -> DataFrame:
     """A sentence about each result that was not refuted; of equal sentences of a paper the first. Repeats are removed by an aggregate, whose rows are then ranked."""
-    said = edge_summary(F.col("relation"), F.col("metric_id"), F.col("value_cents").cast("string"), F.lit(unit or ""), F.col("dataset_id"), F.col("task_id"), F.col("claim"), F.col("verified"))
-    rows = instances.select(*EDGE, "paper_id", said.alias("text"), F.struct(_place(order), "conf").alias("item")).filter("text <> ''")
+    rows = instances.select(*EDGE, "paper_id", _said(unit).alias("text"), F.struct(_place(order), "conf").alias("item")).filter("text <> ''")
     first = rows.groupBy(*EDGE, "paper_id", "text").agg(F.min("item").alias("item"))
     return _capped(first.select(*EDGE, "paper_id", "text", "item.at", "item.conf", F.lit("insights").alias("kind"), F.lit(0).alias("part")), most)
 
@@ -47,16 +55,25 @@ def shown_texts(instances: DataFrame, order: list[str], most: int = CAP) -> Data
     return _capped(instances.select(*EDGE, "paper_id", _place(order), "conf", F.inline(F.concat(snippets, said))), most)
 
 
-def effects(instances: DataFrame, order: list[str], unit: str | None = None) -> DataFrame:
-    """Every edge, with delta, best and worst value, their papers and a sentence where it has two different values."""
-    value, u = F.col("value_cents"), F.lit(unit or "")
-    end = lambda v: F.min(F.when(value.isNotNull(), F.struct(v.alias("v"), _place(order), "paper_id")))
-    ends = instances.groupBy(*EDGE).agg(end(-value).alias("hi"), end(value).alias("lo"))
-    two = -F.col("hi.v") > F.col("lo.v")
+def _ends(at: Column) -> list[Column]:
+    """Aggregates: the largest value and the smallest, each where it is first."""
+    value = F.col("value_cents")
+    end = lambda v: F.min(F.when(value.isNotNull(), F.struct(v.alias("v"), at, "paper_id")))
+    return [end(-value).alias("hi"), end(value).alias("lo")]
+
+
+def _effect(unit: str | None) -> list[Column]:
+    """Columns of an effect size out of hi and lo."""
+    two, u = -F.col("hi.v") > F.col("lo.v"), F.lit(unit or "")
     found = {"best": -F.col("hi.v"), "best_paper": F.col("hi.paper_id"), "worst": F.col("lo.v"), "worst_paper": F.col("lo.paper_id"), "delta": -F.col("hi.v") - F.col("lo.v")}
-    spelled = lambda c: F.concat(F.col(c).cast("string"), u)
+    spelled = lambda c: F.concat(found[c].cast("string"), u)
     said = F.concat(F.lit("Effect size delta "), spelled("delta"), F.lit(" between best ("), spelled("best"), F.lit(") and worst ("), spelled("worst"), F.lit(")"))
-    return ends.select(*EDGE, *[F.when(two, c).alias(n) for n, c in found.items()]).withColumn("effect", said)
+    return [*[F.when(two, c).alias(n) for n, c in found.items()], F.when(two, said).alias("effect")]
+
+
+def effects(instances: DataFrame, order: list[str], unit: str | None = None) -> DataFrame:
+    """Every edge, with delta, best and worst value, their papers and a sentence where it has two different values."""
+    return instances.groupBy(*EDGE).agg(*_ends(_place(order))).select(*EDGE, *_effect(unit))
 
 
 def edge_details(instances: DataFrame, order: list[str], unit: str | None = None, most: int = CAP) -> DataFrame:
@@ -69,6 +86,43 @@ def edge_details(instances: DataFrame, order: list[str], unit: str | None = None
     return both.withColumns({k: F.coalesce(k, F.array()) for k in KINDS})
 
 
+def _details_in_place(instances: DataFrame, texts: Callable[[DataFrame], DataFrame], order: list[str], unit: str | None, most: int) -> DataFrame:
+    """edge_details() of instances that are dealt by their source: windows and aggregate find an edge's rows in one task, so nothing is shuffled. Rows are counted in order;
+    those within the cap of a kind become its items. Of the texts only sentences are sorted, the others are made anew behind."""
+    own = instances.columns
+    rows = texts(instances).withColumns({"said": _said(unit), "has_evidence": F.size(F.coalesce("snippets", F.array())) > 0, "has_statements": F.col("statement").isNotNull()})
+    kept = list(dict.fromkeys([*EDGE, "paper_id", "conf", "value_cents", *own]))
+    rows = rows.select(*kept, "said", "has_evidence", "has_statements")
+    once = F.row_number().over(Window.partitionBy(*EDGE, "paper_id", "said").orderBy(*order, "conf"))
+    rows = rows.withColumn("has_insights", (F.col("said") != "") & (once == 1))
+    w = Window.partitionBy(*EDGE).orderBy(*order)
+    # a result with snippets has one in the first place, so the first `most` such results hold the first `most` snippets
+    within = {f"in_{k}": F.col(f"has_{k}") & (F.count_if(F.col(f"has_{k}")).over(w.rowsBetween(Window.unboundedPreceding, 0)) <= most) for k in KINDS}
+    rows = texts(rows.withColumns({**within, "place": F.rank().over(w)}))
+    item = lambda part, text: F.struct(F.col("place"), part.alias("part"), F.col("paper_id"), text.alias("text"), F.col("conf"))
+    items = {
+        "insights": F.array(item(F.lit(0), F.col("said"))), "statements": F.array(item(F.lit(0), F.col("statement"))),
+        "evidence": F.transform(F.slice("snippets", 1, most), lambda s, i: item(i, s)),
+    }
+    lists = [F.collect_list(F.when(F.col(f"in_{k}"), items[k])).alias(k) for k in KINDS]
+    shown = lambda k: F.transform(F.slice(F.array_sort(F.flatten(k)), 1, most), lambda x: x.dropFields("place", "part")).alias(k)
+    return rows.groupBy(*EDGE).agg(*_ends(F.col("place")), *lists).select(*EDGE, *_effect(unit), *map(shown, KINDS))
+
+
+def details_of_results(results: DataFrame, texts: Callable[[DataFrame], DataFrame], order: list[str], path: str, unit: str | None = None, most: int = CAP, crowded: int = CROWDED) -> DataFrame:
+    """edge_details() of all edges of results. texts adds the columns claim, statement and snippets.
+
+    An edge belongs to one method, so results are shuffled once, by method, before they become edges and texts, in parts by their number. They are written once to path, a new folder that executors share,
+    and read from there. Methods of more than `crowded` results (their ids, at most one for so many results, are broadcast) go by edge_details(), which cuts hot edges before a shuffle.
+    """
+    results.filter("method_id IS NOT NULL").write.parquet(path)
+    written = results.sparkSession.read.schema(results.schema).parquet(path)
+    hot = F.broadcast(written.groupBy("method_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded).select("method_id"))
+    few, many = written.join(hot, "method_id", "left_anti"), written.join(hot, "method_id", "left_semi")
+    dealt = few.repartition(written.count() // DEALT + 1, F.col("method_id").cast("string"))
+    return _details_in_place(K.edge_instances(dealt), texts, order, unit, most).unionByName(edge_details(K.edge_instances(texts(many)), order, unit, most))
+
+
 def response(instances: DataFrame, order: list[str], as_of_year: int, path: str, min_conf: int = 60, nodes: int = 100, edges: int = 500, unit: str | None = None) -> dict[str, DataFrame]:
     """What a view of the graph gets: `nodes` (the most connected ones, as in overview()), `edges` (the heaviest between them, with details) and `meta` (one row: counts, whether
     there is more, and the limits and threshold in force, so that a caller who left them out sees the defaults).

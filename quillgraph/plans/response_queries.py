@@ -20,14 +20,17 @@ ORDER = ["paper_id", "dataset_id", "metric_id", "task_id", "value_cents", "conf"
 UNIT = "c"
 
 
-def _instances(spark, sf) -> DataFrame:
+def _with_texts(rows: DataFrame) -> DataFrame:
     paper = F.col("paper_id").cast("string")
-    rows = results(spark, sf).withColumns({
+    return rows.withColumns({
         "claim": F.when(F.col("conf") >= 95, F.concat(F.lit("Claim of paper "), paper)),
         "statement": F.when(F.col("is_sota"), F.concat(F.lit("State of the art for "), F.col("task_id"))),
         "snippets": F.array(F.concat(F.col("metric_id"), F.lit(" reaches "), F.col("value_cents").cast("string")), F.concat(F.lit("Seen in paper "), paper)),
     })
-    return K.edge_instances(rows)
+
+
+def _instances(spark, sf) -> DataFrame:
+    return K.edge_instances(_with_texts(results(spark, sf)))
 
 
 _FIRST = ", ".join(f"{c} NULLS FIRST" for c in ORDER)
@@ -56,7 +59,7 @@ def _texts(kind: str):
 @query(f"WITH {RESULTS_SQL}, {DETAIL_SQL} SELECT * FROM det")
 def edge_insights(spark, sf):
     """What each edge shows: insights, evidence and statements, twelve of each at most, and its effect size."""
-    return I.edge_details(_instances(spark, sf), ORDER, UNIT).select(*I.EDGE, *map(_texts, I.KINDS), "best_paper", "worst_paper", "effect")
+    return I.details_of_results(results(spark, sf), _with_texts, ORDER, scratch_folder(spark, "insights"), UNIT).select(*I.EDGE, *map(_texts, I.KINDS), "best_paper", "worst_paper", "effect")
 
 
 WEIGHT_SQL = f"""bp AS (SELECT {_EDGE}, paper_id, sum(conf) * 10000 // count(*) AS mean, count(*) AS n, count(*) FILTER (verified) AS v, count(*) FILTER (is_sota) AS s, min(yr) AS lo, max(yr) AS hi FROM i GROUP BY ALL),

@@ -60,6 +60,23 @@ def test_a_hot_edge_is_cut_before_the_shuffle(spark):
     assert [i["paper_id"] for i in x["insights"]] == list(range(12)) and [i["paper_id"] for i in x["evidence"]] == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3, 3, 3]
 
 
+def test_details_of_results_move_each_result_once(spark, tmp_path):
+    """Both routes show what edge_details() shows, repeats of a place too; few methods' results are shuffled once, and no texts with them."""
+    r = random.Random(7)
+    rows = [result(r, r.randint(1, 30), r.choice([1, 1, 2, 3, None])) for _ in range(500)]
+    df = spark.createDataFrame(rows + rows[:200], SCHEMA)
+    texts, order = ["claim", "statement", "snippets"], [*ORDER, "dataset_id", "metric_id", "task_id", "verified", "claim", "statement", "snippets"]
+    plain = lambda d: sorted(map(repr, d.select(sorted(d.columns)).collect()))
+    want = plain(I.edge_details(K.edge_instances(df.repartition(3)), order, "%"))
+    for k, crowded in enumerate((10**6, 150, 0)):
+        got = I.details_of_results(df, lambda d: d, order, f"file://{tmp_path}/{k}", "%", crowded=crowded)
+        assert plain(got) == want and len(want) == 12
+    made = lambda d: d.withColumns({c: F.lit(None).cast("array<string>" if c == "snippets" else "string") for c in texts})
+    dealt = df.drop(*texts).repartition(F.col("method_id").cast("string"))
+    plan = I._details_in_place(K.edge_instances(dealt), made, ORDER, None, 12)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" in plan
+
+
 def test_response_of_few_and_of_no_rows(spark, tmp_path):
     r = random.Random(6)
     df = spark.createDataFrame([result(r, p, m) for p in range(30) for m in range(4)], SCHEMA)
