@@ -1,7 +1,8 @@
 """Relations from dependency trees: patterns over a verb, its subject or object and a further object, the phrases below them, numbers with their units, and the metric near a number.
 
 A parser is a provider; its tokens come as rows. A sentence's tokens meet in one row, which a sentence bounds; there each token has the range of its subtree (the first and last
-token below it), so a phrase is a slice, and patterns, which are data, are matched by joins of parent and child within the row. One shuffle, by sentence; no Python.
+token below it), so a phrase is a slice, and its children, by which patterns, which are data, are matched within the row. One shuffle, by sentence, and none where the tokens are dealt by
+sentence already. Ranges and children are a small Python helper's, linear in the tokens: as expressions they need a look at each pair of tokens.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.kinds import phrase_kinds
-from quillgraph.functions.text import collapse, let
+from quillgraph.functions.text import collapse
 
 
 @dataclass(frozen=True)
@@ -44,29 +45,46 @@ METRIC_REACH = 6
 RULE, WITH_METRIC, WITHOUT_METRIC = 72, 68, 64
 
 
+def below(heads: list) -> tuple:
+    """First and last place of the subtree of each place, and its children. heads: the parent of each place, None at a root; places of a ring have all that hangs from it."""
+    n = len(heads)
+    left, right, children = list(range(n)), list(range(n)), [[] for _ in range(n)]
+    for i, h in enumerate(heads):
+        if h is not None:
+            children[h].append(i)
+    open_ = [len(c) for c in children]
+    ready = [i for i in range(n) if not open_[i]]
+    for i in ready:  # grows: a place whose children are through
+        if (h := heads[i]) is not None:
+            left[h], right[h] = min(left[h], left[i]), max(right[h], right[i])
+            open_[h] -= 1
+            if not open_[h]:
+                ready.append(h)
+    for i in range(n):
+        ring = []
+        while open_[i]:
+            open_[i] = 0
+            ring.append(i)
+            i = heads[i]
+        if ring:
+            lo, hi = min(left[a] for a in ring), max(right[a] for a in ring)
+            for a in ring:
+                left[a], right[a] = lo, hi
+    return left, right, children
+
+
 def sentence_trees(tokens: DataFrame, doc: str) -> DataFrame:
-    """doc, t: its tokens in order, with left and right, the first and last place of the subtree, and three texts with a letter a token: numbers (n number, u unit, o "to", s space, x), nouns (a adjective,
+    """doc, t: its tokens in order, below: left and right (first and last place of the subtree) and children of each token, and three texts with a letter a token: numbers (n number, u unit, o "to", s space, x), nouns (a adjective,
     n noun, x) and metrics (m, x). tokens: doc, i (from 0, no gaps), start, word, lemma, pos, dep, head (place of the parent; null or itself at the root), like_num."""
     own = F.array_sort(F.collect_list(F.struct("i", "start", "word", F.lower("lemma").alias("lemma"), "pos", "dep", F.when(F.col("head") != F.col("i"), F.col("head")).alias("head"), "like_num")))
     rows = tokens.groupBy(doc).agg(own.alias("t"))
-    t = F.col("t")
-
-    def up(places: Column, i: Column) -> Column:
-        """The place and those above it."""
-        step = lambda way, _: let(t[F.element_at(way, -1)]["head"], lambda h: F.when(h.isNull() | F.array_contains(way, h), way).otherwise(F.concat(way, F.array(h))))
-        return F.aggregate(places, F.array(i), step)
-
-    def spans(places: Column, above: Column) -> Column:
-        own = lambda a: F.filter(places, lambda i: F.array_contains(above[i], a))
-        return F.transform(places, lambda a: let(own(a), lambda b: F.struct(F.array_min(b).alias("left"), F.array_max(b).alias("right"))))
-
-    ranges = let(F.transform(t, lambda x: x["i"]), lambda places: let(F.transform(places, lambda i: up(places, i)), lambda above: spans(places, above)))
+    tree = F.udf(below, "left array<int>, right array<int>, children array<array<int>>", useArrow=True)
     low = lambda x: F.lower(x["word"])
     number = lambda x: F.when(F.trim(x["word"]) == "", "s").when(x["like_num"], "n").when(low(x).isin(UNIT_TOKENS), "u").when(low(x) == "to", "o").otherwise("x")
     noun = lambda x: F.when(x["pos"] == "ADJ", "a").when(x["pos"].isin(*NOUNS), "n").otherwise("x")
     metric = lambda x: F.when(x["lemma"].isin(METRICS) | low(x).isin(METRICS), "m").otherwise("x")
     letters = [F.array_join(F.transform("t", f), "").alias(c) for c, f in (("numbers", number), ("nouns", noun), ("metrics", metric))]
-    return rows.select(doc, "t", ranges.alias("spans"), *letters)
+    return rows.select(doc, "t", tree(F.transform("t", lambda x: x["head"])).alias("below"), *letters)
 
 
 def pattern_matches(trees: DataFrame, patterns: list[Pattern] = PATTERNS) -> DataFrame:
@@ -74,7 +92,7 @@ def pattern_matches(trees: DataFrame, patterns: list[Pattern] = PATTERNS) -> Dat
     words = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
     data = F.array(*[F.struct(F.lit(p.rule).alias("rule"), words(p.verbs).alias("verbs"), words(p.noun_deps).alias("noun_deps"), words(p.preps).alias("preps"), words(p.object_deps).alias("object_deps"), F.lit(p.noun_object).alias("noun_object")) for p in patterns])
     t, p, all_places = F.col("t"), F.col("p"), F.transform("t", lambda x: x["i"])
-    of = lambda parent, fits: F.filter(all_places, lambda j: (t[j]["head"] == parent) & fits(t[j]))
+    of = lambda parent, fits: F.filter(F.col("below.children")[parent], lambda j: fits(t[j]))
     named = lambda x: x["pos"].isin(*NOUNS)
     has = lambda name, value: F.array_contains(p[name], value)
     m = trees.withColumn("p", F.explode(data))
@@ -112,9 +130,9 @@ def with_phrases(matches: DataFrame, sentences: DataFrame, doc: str) -> DataFram
     place = first + found - 1
     before, behind = F.regexp_extract(F.substring("nouns", F.lit(1), place), "[an]*$", 0), F.regexp_extract(F.substring("nouns", place + 2, F.length("nouns")), "^n*", 0)
     metric = F.when(found > 0, _span(place - F.length(before), place + F.length(behind)))
-    below = lambda x: _span(F.col("spans")[x]["left"], F.col("spans")[x]["right"])
+    whole = lambda x: _span(F.col("below.left")[x], F.col("below.right")[x])
     reports = F.col("rule") == "REPORTS"
-    m = m.select(doc, "rule", F.col("t")[F.col("verb")]["lemma"].alias("verb"), "text", below(F.col("noun")).alias("subject_span"), F.when(reports, value).otherwise(below(at)).alias("own"), F.when(reports, metric).alias("metric"))
+    m = m.select(doc, "rule", F.col("t")[F.col("verb")]["lemma"].alias("verb"), "text", whole(F.col("noun")).alias("subject_span"), F.when(reports, value).otherwise(whole(at)).alias("own"), F.when(reports, metric).alias("metric"))
     told = F.concat_ws(" ", F.when(F.col("metric").isNotNull(), phrase(F.col("text"), F.col("metric"))), phrase(F.col("text"), F.col("own")))
     both = F.struct(F.least("own.start", "metric.start").alias("start"), F.greatest("own.end", "metric.end").alias("end"))
     kind = F.when(F.col("metric").isNotNull(), "Metric").when(F.col("rule") == "PROPOSES", "Task").when(F.col("rule") == "EVALUATED_ON", "Dataset").otherwise("Concept")

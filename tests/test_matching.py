@@ -158,6 +158,35 @@ def test_relations_from_trees(spark):
     assert dependency.dependency_candidates(tokens.limit(0), sentences, "doc").count() == 0
 
 
+def test_subtrees_in_one_pass(spark):
+    """Ranges and children of trees, rings and long chains, in time that grows with the tokens."""
+    import random
+    import time
+
+    from quillgraph.operators import dependency
+
+    def plain(heads):
+        def up(i):
+            way = [i]
+            while heads[way[-1]] is not None and heads[way[-1]] not in way:
+                way.append(heads[way[-1]])
+            return way
+
+        ups = [up(i) for i in range(len(heads))]
+        under = [[i for i, way in enumerate(ups) if a in way] for a in range(len(heads))]
+        return [min(u) for u in under], [max(u) for u in under], [[i for i, h in enumerate(heads) if h == a] for a in range(len(heads))]
+
+    r = random.Random(1)
+    for n in [0, 1, 2, 3, 5, 12] * 40:
+        heads = [h if (h := r.choice([None, *range(n)])) != i else None for i in range(n)]
+        assert dependency.below(heads) == plain(heads)
+    n = 3000
+    rows = spark.range(n).selectExpr("1 AS doc", "int(id) AS i", "int(id * 2) AS start", "'w' AS word", "'w' AS lemma", "'NOUN' AS pos", "'x' AS dep", "int(if(id = 0, null, id - 1)) AS head", "false AS like_num")
+    began = time.time()
+    x = dependency.sentence_trees(rows, "doc").first()
+    assert x["below"]["left"] == list(range(n)) and set(x["below"]["right"]) == {n - 1} and x["below"]["children"][5] == [6] and time.time() - began < 20
+
+
 def test_entities_of_one_look_are_scored_once(spark):
     """Pairs of copies are made, each once, but neither names nor vectors are compared again for them."""
     rows = [(i, ["one", "two", None][i % 3], [float(i % 2), 1.0] if i % 5 else None) for i in range(60)]
