@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillgraph.operators import persist as W
 from quillgraph.plans.collect import collector
 from quillgraph.sources.readers import table
-from quillgraph.sources.store import Store, clear_in_order, scratch_folder
+from quillgraph.sources.store import Store, clear_in_order, scratch_folder, written
 
 QUERIES, query = collector()
 
@@ -34,8 +34,8 @@ SELECT paper, line, method, dataset, value + CASE WHEN paper % 3 = 0 THEN 1000 E
 )
 def extraction_stored(spark, sf):
     """All papers are stored; a third of them again, with other values and at most two results; then a fifth with none."""
-    results, dimensions, _ = _stores(spark, "extraction")
-    rows = _extracted(spark, sf)
+    results, dimensions, path = _stores(spark, "extraction")
+    rows = written(_extracted(spark, sf), f"{path}/given")
     W.store_results(results, dimensions, rows)
     again = rows.filter("paper % 3 = 0 AND line <= 2").withColumn("value", F.col("value") + 1000)
     W.store_results(results, dimensions, again, rows.filter("paper % 3 = 0").select("paper"))
@@ -58,7 +58,9 @@ def resolutions_stored(spark, sf):
     kept = Store(spark, f"{path}/resolutions", "id", "id string, canonical_id string, kind string, score double")
     W.store_resolutions(results, dimensions, kept, pairs.select("id", "canonical_id", F.lit(0.9).alias("score")), "method")
     named = dimensions["method"].read().select(F.col("id").alias("method_id"), F.col("key").alias("method"))
-    return results.read().join(named, "method_id").groupBy("method").agg(F.count(F.lit(1)).alias("results"), F.min("paper").alias("first_paper"))
+    # counted by id before names are looked up
+    own = results.read().groupBy("method_id").agg(F.count(F.lit(1)).alias("n"), F.min("paper").alias("first"))
+    return own.join(named, "method_id").groupBy("method").agg(F.sum("n").alias("results"), F.min("first").alias("first_paper"))
 
 
 @query(
