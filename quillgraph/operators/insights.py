@@ -109,6 +109,14 @@ def _details_in_place(instances: DataFrame, texts: Callable[[DataFrame], DataFra
     return rows.groupBy(*EDGE).agg(*_ends(F.col("place")), *lists).select(*EDGE, *_effect(unit), *map(shown, KINDS))
 
 
+def dealt_by_paper(results: DataFrame, path: str) -> DataFrame:
+    """results, written once to path, a new folder that executors share, and dealt by method and paper in parts by their number: edges are then aggregated by paper within a task, whose groups are
+    those of some DEALT results, whatever a split holds; a method of many papers is spread."""
+    results.write.parquet(path)
+    written = results.sparkSession.read.schema(results.schema).parquet(path)
+    return written.repartition(written.count() // DEALT + 1, F.col("method_id").cast("string"), "paper_id")
+
+
 def details_of_results(results: DataFrame, texts: Callable[[DataFrame], DataFrame], order: list[str], path: str, unit: str | None = None, most: int = CAP, crowded: int = CROWDED) -> DataFrame:
     """edge_details() of all edges of results. texts adds the columns claim, statement and snippets.
 

@@ -29,10 +29,6 @@ def _with_texts(rows: DataFrame) -> DataFrame:
     })
 
 
-def _instances(spark, sf) -> DataFrame:
-    return K.edge_instances(_with_texts(results(spark, sf)))
-
-
 _FIRST = ", ".join(f"{c} NULLS FIRST" for c in ORDER)
 _EDGE = "relation, source, target"
 #: i: the instances; ins, ev, st: items of each kind within the cap; ef: effect sizes.
@@ -77,7 +73,9 @@ UNION ALL SELECT 'meta', 'meta', (SELECT count(*) FROM nd)::BIGINT, (SELECT coun
 )
 def graph_response(spark, sf):
     """The response of an overview of 30 nodes and 40 edges: nodes, edges with all that they show, and one row about it."""
-    r = I.response(_instances(spark, sf), ORDER, AS_OF_YEAR, scratch_folder(spark, "response"), nodes=30, edges=40, unit=UNIT)
+    path = scratch_folder(spark, "response")
+    instances = K.edge_instances(_with_texts(I.dealt_by_paper(results(spark, sf), f"{path}/results")))
+    r = I.response(instances, ORDER, AS_OF_YEAR, f"{path}/edges", nodes=30, edges=40, unit=UNIT)
     none = F.lit(None).cast("double").alias("weight")
     s = lambda c: F.col(c).cast("string")
     nodes = r["nodes"].select(F.lit("node").alias("part"), "id", "papers", F.col("degree").alias("count"), none, F.col("label").alias("text"))

@@ -77,6 +77,16 @@ def test_details_of_results_move_each_result_once(spark, tmp_path):
     assert plan.count("Exchange") == 1 and "Window" in plan
 
 
+def test_results_dealt_by_paper_meet_without_a_shuffle_by_paper(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "DEALT", 10)
+    r = random.Random(8)
+    df = spark.createDataFrame([result(r, p, m) for p in range(30) for m in (1, 2, None)], SCHEMA)
+    edges = K.weighted_edges(K.edge_instances(I.dealt_by_paper(df, f"file://{tmp_path}/r")), 2001)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # results, and edges of all papers
+    assert sorted(map(repr, edges.collect())) == sorted(map(repr, K.weighted_edges(K.edge_instances(df), 2001).collect()))
+
+
 def test_response_of_few_and_of_no_rows(spark, tmp_path):
     r = random.Random(6)
     df = spark.createDataFrame([result(r, p, m) for p in range(30) for m in range(4)], SCHEMA)
