@@ -567,6 +567,23 @@ def test_lines_recur_by_documents(spark):
     assert not any(x in r["text"] for r in kept for x in footer)
 
 
+def test_lines_are_written_without_their_words(spark, tmp_path, monkeypatch):
+    """Scratch tables hold hashes of lines, and words of templates that share a leaf only."""
+    rows = [(i, "\n".join([" ".join(words(50 * i + k, 200)) for k in range(20)] + [f"Share this page with {words(90_000 + i, 1)[0]} on the network now"])) for i in range(100)]
+    written, scratch = [], line_templates.materialize
+
+    def measured(df, name, stays=False):
+        out = scratch(df, name, stays)
+        written.append(sum(os.path.getsize(x.removeprefix("file://")) for x in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(line_templates, "materialize", measured)
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/docs.parquet")
+    out = line_templates.drop_recurring_lines(spark.read.parquet(f"{tmp_path}/docs.parquet"), n_col="dropped").collect()
+    assert {(x["doc_id"], x["text"], x["dropped"]) for x in out} == {(i, t.rpartition("\n")[0], 1) for i, t in rows}
+    assert 3 * sum(written) < sum(len(t) for _, t in rows)
+
+
 def test_quality_on_awkward_rows(spark):
     good = " ".join(words(11, 120))
     rows = AWKWARD + [(None, good), (40, good), (41, " ".join(["same old words"] * 40)), (42, good.upper()), (43, good.replace(" ", "### "))]
