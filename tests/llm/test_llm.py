@@ -567,6 +567,38 @@ def test_lines_recur_by_documents(spark):
     assert not any(x in r["text"] for r in kept for x in footer)
 
 
+def test_no_template_of_a_leaf_is_left_over(spark):
+    """Twelve families of one leaf, all with the same fifth and without the same last two tokens: three rounds have no head for most of them."""
+    name = lambda k: words(k, 1)[0]
+    line = lambda i: f"Please read the {name(i)} about {' '.join(words(700 + i % 12, 5))} {name(3000 + i)}"
+    rows = [(i, f"{' '.join(words(10_000 + i, 15))}\n{line(i)}\n{' '.join(words(20_000 + i, 15))}") for i in range(120)]
+    some = {x["doc_id"]: x["dropped"] for x in line_templates.drop_recurring_lines(docs_of(spark, rows), n_col="dropped").collect()}
+    assert 0 in some.values()
+    import corpus_pipeline
+
+    for x in corpus_pipeline.line_dedup(spark, docs_of(spark, rows), "").collect():
+        assert x["text"] == "\n".join([dict(rows)[x["doc_id"]].split("\n")[0], dict(rows)[x["doc_id"]].split("\n")[2]])
+
+
+@pytest.mark.parametrize("pays", [0, 8])
+@pytest.mark.parametrize("similarity,min_same", [(0.75, 4), (0.5, 4), (0.2, 1)])
+def test_all_clusters_by_brute_force(spark, monkeypatch, pays, similarity, min_same):
+    r = random.Random(11)
+    lines = {" ".join(["a b c", *(r.choice("xyz") for _ in range(k))]) for k in (0, 1, 2, 3, 4, 5, 6, 9) for _ in range(60)}
+    rows = [(k, *r.sample(range(10**6), 2), t, r.choice([1, 1, 1, 2, 9])) for t in sorted(lines) for k in [t.count(" ") + 1]]
+    want, heads = {}, []
+    for leaf, t1, t2, t, n in sorted(rows, key=lambda x: (x[4], x[1], x[2]), reverse=True):
+        same = lambda h: sum(a == b for a, b in zip(t.split(), h[3].split()))
+        near = [h for h in heads if h[0] == leaf and same(h) >= max(min_same, similarity * leaf)]
+        want[leaf, t1, t2] = near[0][1:3] if near else (t1, t2)
+        heads += [] if near else [(leaf, t1, t2, t)]
+    monkeypatch.setattr(line_templates, "PAYS", pays)
+    texts = spark.createDataFrame(rows, "leaf long, t1 long, t2 long, masked string, n long")
+    found = {(x["leaf"], x["t1"], x["t2"]): (x["c1"], x["c2"]) for x in line_templates._all_clusters(texts, 3, similarity, min_same).collect()}
+    assert {k: found.get(k, k[1:]) for k in want} == want and found.keys() <= want.keys()
+    assert len(want) > len(heads) > 5
+
+
 def test_lines_are_written_without_their_words(spark, tmp_path, monkeypatch):
     """Scratch tables hold hashes of lines, and words of templates that share a leaf only."""
     rows = [(i, "\n".join([" ".join(words(50 * i + k, 200)) for k in range(20)] + [f"Share this page with {words(90_000 + i, 1)[0]} on the network now"])) for i in range(100)]
