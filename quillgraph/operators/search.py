@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +35,12 @@ def hash_features(t: Column, size: int = 64) -> Column:
     return F.transform(F.array(F.concat(*digests)), lambda h: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: signed(byte(h, i))))[0]
 
 
-def ingest(texts: DataFrame, stored: DataFrame, size: int = 64) -> DataFrame:
-    """hash, vector and is_new of all stored vectors and of the texts that have none yet; empty texts are left out. Each distinct text is embedded once.
+def ingest(texts: DataFrame, stored: DataFrame, size: int = 64, clean_by: Callable[[Column], Column] = X.sanitize) -> DataFrame:
+    """hash, vector and is_new of all stored vectors and of the texts that have none yet. Each distinct text is embedded once.
 
-    texts: text. stored: hash, vector.
+    texts: text. stored: hash, vector. clean_by: what a text is before it is hashed; where that is null, as by X.sanitize for empty texts, it is left out.
     """
-    clean = texts.select(X.sanitize(F.col("text")).alias("text")).filter("text IS NOT NULL")
+    clean = texts.select(clean_by(F.col("text")).alias("text")).filter("text IS NOT NULL")
     new = clean.select(F.sha2("text", 256).alias("hash"), "text").join(stored.select("hash"), "hash", "left_anti").dropDuplicates(["hash"])
     return stored.select("hash", "vector", F.lit(False).alias("is_new")).unionByName(new.select("hash", hash_features(F.col("text"), size).alias("vector"), F.lit(True).alias("is_new")))
 
