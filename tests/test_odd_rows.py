@@ -35,3 +35,14 @@ def test_vectors_of_odd_texts(spark, tmp_path, nulls):
 
 def test_vectors_without_stored_ones(spark, tmp_path):
     equals_sql(spark, tmp_path, "vectors_ingested", {"documents": ([(1, None), (3, "a"), (None, "b"), (5, " a")], "doc_id long, text string")})
+
+
+LINE = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string"
+
+
+@pytest.mark.parametrize("name", ["tier1_results", "tier1_entities"])
+def test_tier_of_lines_that_repeat(spark, tmp_path, name):
+    """Lines of one order, number, part and quantity are one section's id: equal ones stay two rows, others keep their own method and task. Quantities are whole to the nearest."""
+    lines = [(1, 1, 7, 3, 5.0, "R"), (1, 1, 7, 3, 5.0, "R"), (1, 1, 7, 4, 5.0, "A"), (2, 1, 7, 3, 5.0, "R"), (2, 2, 57, 3, 2.5, "R"), (2, 3, 8, 3, 3.5, "R"), (4, 1, 12, 5, 9.0, "N"), (4, 1, 12, 5, 9.0, "N"), (4, 1, 12, 6, 9.0, "N")]
+    got = equals_sql(spark, tmp_path, name, {"lineitem": (lines, LINE)})
+    assert name != "tier1_results" or len(got) == len(lines)
