@@ -117,18 +117,31 @@ def dealt_by_paper(results: DataFrame, path: str) -> DataFrame:
     return written.repartition(written.count() // DEALT + 1, F.col("method_id").cast("string"), "paper_id")
 
 
+def _dealt_by_method(results: DataFrame, path: str, crowded: int) -> tuple[DataFrame, DataFrame]:
+    """results with a method, written once to path: those of methods of up to `crowded` results dealt by method in parts by their number, and those of the others (their ids, at most one for so many
+    results, are broadcast)."""
+    results.filter("method_id IS NOT NULL").write.parquet(path)
+    written = results.sparkSession.read.schema(results.schema).parquet(path)
+    hot = F.broadcast(written.groupBy("method_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded).select("method_id"))
+    few, many = written.join(hot, "method_id", "left_anti"), written.join(hot, "method_id", "left_semi")
+    return few.repartition(written.count() // DEALT + 1, F.col("method_id").cast("string")), many
+
+
+def edges_of_results(results: DataFrame, as_of_year: int, path: str, min_conf: int = 60, crowded: int = CROWDED) -> DataFrame:
+    """graph.weighted_edges() of all relations. An edge belongs to one method, so results are shuffled once, by method, before they become three edges each, and are aggregated by paper and edge in place;
+    only those of crowded methods are shuffled by edge and paper. path: a new folder that executors share, to which results are written once."""
+    few, many = (K.weighted_edges(K.edge_instances(own), as_of_year, min_conf) for own in _dealt_by_method(results.drop("value_cents"), path, crowded))
+    return few.unionByName(many)
+
+
 def details_of_results(results: DataFrame, texts: Callable[[DataFrame], DataFrame], order: list[str], path: str, unit: str | None = None, most: int = CAP, crowded: int = CROWDED) -> DataFrame:
     """edge_details() of all edges of results. texts adds the columns claim, statement and snippets.
 
     An edge belongs to one method, so results are shuffled once, by method, before they become edges and texts, in parts by their number. They are written once to path, a new folder that executors share,
-    and read from there. Methods of more than `crowded` results (their ids, at most one for so many results, are broadcast) go by edge_details(), which cuts hot edges before a shuffle.
+    and read from there. Methods of more than `crowded` results go by edge_details(), which cuts hot edges before a shuffle.
     """
-    results.filter("method_id IS NOT NULL").write.parquet(path)
-    written = results.sparkSession.read.schema(results.schema).parquet(path)
-    hot = F.broadcast(written.groupBy("method_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded).select("method_id"))
-    few, many = written.join(hot, "method_id", "left_anti"), written.join(hot, "method_id", "left_semi")
-    dealt = few.repartition(written.count() // DEALT + 1, F.col("method_id").cast("string"))
-    return _details_in_place(K.edge_instances(dealt), texts, order, unit, most).unionByName(edge_details(K.edge_instances(texts(many)), order, unit, most))
+    few, many = _dealt_by_method(results, path, crowded)
+    return _details_in_place(K.edge_instances(few), texts, order, unit, most).unionByName(edge_details(K.edge_instances(texts(many)), order, unit, most))
 
 
 def response(instances: DataFrame, order: list[str], as_of_year: int, path: str, min_conf: int = 60, nodes: int = 100, edges: int = 500, unit: str | None = None) -> dict[str, DataFrame]:

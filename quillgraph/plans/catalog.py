@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as X
 from quillgraph.operators import extract as E
 from quillgraph.operators import graph as K
+from quillgraph.operators import insights as I
 from quillgraph.operators import resolve as R
 from quillgraph.operators import search as V
 from quillgraph.operators import segment as G
@@ -19,6 +20,7 @@ from quillgraph.plans import evidence_queries, matching_queries, metadata_querie
 from quillgraph.plans.adapt import AS_OF_YEAR, EVIDENCE_SQL, RESULTS_SQL, entities, evidence, results
 from quillgraph.plans.collect import collector
 from quillgraph.sources.readers import table
+from quillgraph.sources.store import scratch_folder, written
 
 QUERIES, query = collector()
 
@@ -112,14 +114,21 @@ ends AS (SELECT 'method' AS type, source AS node, paper_count FROM t UNION ALL S
 nodes AS (SELECT type, node, sum(paper_count)::BIGINT AS papers, count(*)::BIGINT AS degree FROM ends GROUP BY 1, 2 ORDER BY papers DESC, lower(node), type LIMIT 100) """
 
 
+def _overview(spark, sf):
+    """Nodes and edges of the overview. Both are read from one table of edges, which are made once."""
+    path = scratch_folder(spark, "overview")
+    edges = I.edges_of_results(results(spark, sf), AS_OF_YEAR, f"{path}/results").select("relation", "source", "target", "paper_count", "weight")
+    return K.overview(written(edges, f"{path}/edges"))
+
+
 @query(OVERVIEW_SQL + "SELECT * FROM nodes")
 def graph_overview_nodes(spark, sf):
-    return K.overview(_edges(spark, sf))[0]
+    return _overview(spark, sf)[0]
 
 
 @query(OVERVIEW_SQL + "SELECT relation, source, target, paper_count, weight FROM t WHERE source IN (SELECT node FROM nodes WHERE type = 'method') AND (target_type, target) IN (SELECT type, node FROM nodes)")
 def graph_overview_edges(spark, sf):
-    return K.overview(_edges(spark, sf))[1].select("relation", "source", "target", "paper_count", "weight")
+    return _overview(spark, sf)[1].select("relation", "source", "target", "paper_count", "weight")
 
 
 @query(EDGE_SQL.replace("inst AS (", "res2 AS (SELECT * FROM res WHERE paper_id IN (SELECT paper_id FROM res WHERE method_id = 3)),\ninst AS (").replace("* FROM res WHERE dataset", "* FROM res2 WHERE dataset").replace("* FROM res WHERE metric", "* FROM res2 WHERE metric").replace("* FROM res WHERE task", "* FROM res2 WHERE task") + "SELECT relation, source, target, paper_count, weight FROM w")

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
-from quillgraph.operators import linking, segment, structure, verify
+from quillgraph.operators import graph, insights, linking, segment, structure, verify
+from quillgraph.plans import adapt, catalog
 from quillgraph.sources import readers
 
 
@@ -68,3 +69,26 @@ def test_links_of_papers_of_few_and_many_keys_agree(spark, monkeypatch):
         got.append(sorted(map(tuple, linking.link_results(r, e).collect())))
     assert got[0] == got[1] == got[2]
     assert ("1-0", 0, "named") in got[0] and ("1-5", 1, "named") in got[0] and ("1-6", 0, "named") in got[0] and ("1-2", 3, "near") not in got[0][:1] and ("3-0", 0, "near") in got[0]
+
+
+def test_edges_of_results_are_made_behind_one_shuffle(spark, sf_dir, tmp_path, monkeypatch):
+    """Edges of few and of crowded methods agree with those of exploded rows; the former are dealt by method once and aggregated in place."""
+    rows = adapt.results(spark, sf_dir).withColumn("method_id", F.when(F.col("method_id") % 5 > 0, F.col("method_id")))
+    want = sorted(map(tuple, graph.weighted_edges(graph.edge_instances(rows), 2001).collect()))
+    each = rows.groupBy("method_id").count().agg(F.percentile("count", 0.5)).first()[0]
+    for i, crowded in enumerate((10**9, int(each), 0)):
+        got = insights.edges_of_results(rows, 2001, f"{tmp_path}/{i}", crowded=crowded)
+        assert sorted(map(tuple, got.collect())) == want
+    monkeypatch.setattr(insights, "DEALT", 1000)
+    few, _ = insights._dealt_by_method(rows, f"{tmp_path}/few", 10**9)
+    edges = graph.weighted_edges(graph.edge_instances(few), 2001)
+    edges.collect()
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    plan = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert plan.count("Exchange hashpartitioning(cast(method_id") == 1 and "Exchange hashpartitioning(relation" not in plan and "Exchange hashpartitioning(source" not in plan
+
+
+def test_overview_reads_edges_once_made(spark, sf_dir):
+    """Nodes and edges come from one written table of edges, not from results each."""
+    plan = catalog.graph_overview_edges(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan.replace("Generate explode(array(struct(node", "") and "paper_id" not in plan
