@@ -46,3 +46,18 @@ def test_tier_of_lines_that_repeat(spark, tmp_path, name):
     lines = [(1, 1, 7, 3, 5.0, "R"), (1, 1, 7, 3, 5.0, "R"), (1, 1, 7, 4, 5.0, "A"), (2, 1, 7, 3, 5.0, "R"), (2, 2, 57, 3, 2.5, "R"), (2, 3, 8, 3, 3.5, "R"), (4, 1, 12, 5, 9.0, "N"), (4, 1, 12, 5, 9.0, "N"), (4, 1, 12, 6, 9.0, "N")]
     got = equals_sql(spark, tmp_path, name, {"lineitem": (lines, LINE)})
     assert name != "tier1_results" or len(got) == len(lines)
+
+
+PART = "p_partkey long, p_name string"
+ORDERED = "l_partkey long, l_orderkey long"
+
+
+def test_entities_of_every_shared_name_are_paired(spark, tmp_path):
+    """Names of shared tasks bring their entities together as other names do; entities without a vector and of one order are paired, too, and no pair comes twice."""
+    part = [(i, f"name {i % 3}" if i != 9 else "NAME 1") for i in range(200)]
+    lines = [(i % 200, i % 23) for i in range(0, 400, 7)] + [(5, 1), (5, 1), (8, 1), (777, 1)]
+    vectors = [(v, [float(v % 7), 1.0, float(v % 3) - 1]) for v in range(0, 150)]
+    tables = {"part": (part, PART), "lineitem": (lines, ORDERED), "embeddings": (vectors, "vec_id long, embedding array<float>")}
+    got = equals_sql(spark, tmp_path, "entity_pair_scores", tables)
+    pairs = {r[:2] for r in got}
+    assert len(pairs) == len(got) and {(0, 40), (40, 80), (2, 42), (1, 41)} <= pairs
