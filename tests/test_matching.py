@@ -204,3 +204,38 @@ def test_entities_of_one_look_are_scored_once(spark):
     assert fast == slow and len(fast) == len(got)
     want = {(a[0], b[0]): round(0.4 * ((a[1] or "") == (b[1] or "") and a[1] is not None or jaro_winkler_of(a[1] or "", b[1] or "")) + (0.6 if a[2] == b[2] and a[2] else 0.6 * 0.5**0.5 if a[2] and b[2] else 0), 6) for a in rows for b in rows}
     assert all(score == pytest.approx(want[a, b], abs=2e-6) for a, b, score in fast)
+
+
+def test_namesakes_of_many_cells_equal_pairs_one_by_one(spark, monkeypatch):
+    """Any number of cells gives each pair of a name once, with the score that scored_entities() gives it; vectors that are null, zero, of another length or hold nulls count as none."""
+    vectors = [(v, [float(v % 5), 0.25 * v, 1.0 - v]) for v in range(12)] + [(12, None), (13, [0.0, 0.0, 0.0]), (14, [1.0]), (15, [1.0, None, 2.0]), (16, [float("nan"), 1.0, 1.0]), (17, [])]
+    rows = [(i, ["alpha", "Alpha", "wmt 2014 en to de", "beta", None][i % 5], i * 7 % 19) for i in range(90)] + [(1000, "single", 1)]
+    v = spark.createDataFrame(vectors, "vec int, vector array<double>")
+    e = spark.createDataFrame(rows, "id long, name string, vec int").select("*", F.array().cast("array<string>").alias("aliases")).join(v, "vec", "left")
+    keys = e.select("id", F.lower("name").alias("key"))
+    want = sorted(map(tuple, fuzzy.scored_entities(fuzzy.blocked_pairs(keys), e).collect()))
+    assert len(want) > 900
+    for cell, looks, out in ((4000, 256, 200_000), (7, 2, 5), (1, 1, 1)):
+        for name, value in (("CELL", cell), ("_LOOKS", looks), ("_ROWS", out), ("PAIRS", 100)):
+            monkeypatch.setattr(fuzzy, name, value)
+        got = fuzzy.scored_namesakes(fuzzy.named_entities(e), v)
+        assert sorted(map(tuple, got.collect())) == want
+    assert fuzzy.scored_namesakes(fuzzy.named_entities(e.limit(0)), v).count() == 0
+
+
+def test_pairs_of_a_name_are_not_shuffled(spark, tmp_path):
+    """One name of very many entities: what is shuffled are entities, not the square of them."""
+    e = spark.range(9000).select("id", F.lit("one").alias("name"), F.lit(False).alias("task"), (F.col("id") % 3).alias("vec"))
+    v = spark.range(3).select(F.col("id").alias("vec"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("vector"))
+    pairs = fuzzy.scored_namesakes(e, v)
+    assert pairs.count() == 9000 * 8999 // 2
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Join") and "left_id" not in plan[plan.index("Join") :]
+
+
+def test_scores_are_rounded_as_spark_rounds(spark):
+    import numpy as np
+
+    x = np.array([[0.1234565, 0.1234575, 0.9999995, 0.0000005], [0.12345649999, 1.0, 0.0, 0.3333335]])
+    want = [r[0] for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(x.ravel())], "i int, v double").coalesce(1).orderBy("i").select(F.round("v", 6)).collect()]
+    assert fuzzy._rounded(x).ravel().tolist() == want
