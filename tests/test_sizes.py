@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
 from quillgraph.operators import graph, insights, linking, segment, structure, verify
-from quillgraph.plans import adapt, catalog
+from quillgraph.plans import adapt, catalog, tier_queries
 from quillgraph.sources import readers
 
 
@@ -92,3 +92,17 @@ def test_overview_reads_edges_once_made(spark, sf_dir):
     """Nodes and edges come from one written table of edges, not from results each."""
     plan = catalog.graph_overview_edges(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan.replace("Generate explode(array(struct(node", "") and "paper_id" not in plan
+
+
+def test_lines_become_texts_in_parts_by_their_number(spark, sf_dir, monkeypatch):
+    """A small file of many lines is no single task: a line costs far more than its bytes."""
+    monkeypatch.setattr(tier_queries, "_LINES", 1000)
+    sections = tier_queries._sections(spark, sf_dir)[0]
+    sizes = [r["count"] for r in sections.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == sum(sizes) // 1000 + 1 and max(sizes) < 2000
+
+
+def test_stripped_texts_equal_the_pattern(spark):
+    odd = ["", " ", "a", " a b ", "\t\n\x0b\f\r a\x0bb \r\n", "\xa0a\xa0", "\x1ca\x1f", " \U0001f600 ", "a\n\n", None]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string")
+    assert rows.filter(~X.stripped(F.col("t")).eqNullSafe(F.regexp_replace("t", X.EDGES, ""))).count() == 0
